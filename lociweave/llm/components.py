@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     edges to the shared folder; a hub's neighbours are met by a minimum with map-side combine and by a join
     that can be split, never gathered. Rounds grow with the logarithm of the longest path.
     """
-    now = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("p")).filter(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
+    apart = edges.filter(F.col(u).isNotNull() & F.col(v).isNotNull() & (F.col(u) != F.col(v)))
+    now = apart.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("p"))
     now = store(now.distinct(), "star")
     mark = None
     while True:
