@@ -1,4 +1,6 @@
 """Names of all queries over the driver's tables, with the SQL that must give the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from lociweave.plans import relational
+
+QUERIES = dict(relational.QUERIES)
+ORACLES = dict(relational.ORACLES)
