@@ -14,8 +14,9 @@ So both give the ids of the library. A word's segmentation is one number (a bit
 to the documents in side tables, one per block of rows; the documents themselves are never shuffled. A
 word of over 62 characters does not fit a number: it is segmented where it stands, by the same rules.
 
-Words end where a white space symbol follows any other character, and at line ends and tabs if no piece
-of several characters holds one; no piece of the model may cross the former, which is checked.
+Texts are cut where a white space symbol follows any other character (no piece of the model may run over
+that, which is checked), and between any two characters that stand side by side in no piece: no merge can
+cross such a border. That parts words from their punctuation and leaves far fewer distinct words.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociweave.llm.side_tables import BLOCK, read_side, runs, with_blocks, write_side
+from lociweave.llm.side_tables import BLOCK, read_side, runs, sliced, with_blocks, write_side
 from lociweave.runtime import store
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -81,7 +82,7 @@ class Model:
     pieces: tuple  # (text, score, type)
     kind: int
     dummy_prefix: bool
-    newline_ends: bool = field(default=True)
+    bigrams: frozenset = field(default=frozenset(), repr=False)  # characters that stand side by side in some piece
 
     @property
     def longest(self) -> int:
@@ -110,13 +111,12 @@ def load_model(path: str = MODEL) -> Model:
         raise ValueError("the model has no piece for every byte, so texts would not come back")
     if any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, t in pieces if t == NORMAL):
         raise ValueError("a piece runs over the start of a word")
-    return Model(tuple(pieces), kind, prefix, not any(len(p) > 1 and re.search(r"[\n\r\t]", p) for p, _, t in pieces if t == NORMAL))
+    return Model(tuple(pieces), kind, prefix, frozenset(p[i : i + 2] for p, _, t in pieces if t == NORMAL for i in range(len(p) - 1)))
 
 
 def splitter(model: Model):
     """Text -> words; their concatenation is the text with white space symbols."""
-    end = r"\n\r\t" if model.newline_ends else ""
-    found = re.compile(f"{SPACE}*[^{SPACE}{end}]+|{SPACE}+" + (f"|[{end}]" if end else "")).findall
+    found = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not any("\n" in b for b in model.bigrams) else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def split(text: str) -> list[str]:
         if not text:
@@ -126,6 +126,17 @@ def splitter(model: Model):
     return split
 
 
+def chunker(model: Model):
+    """Word -> the parts that no merge can join."""
+    inside = model.bigrams
+
+    def cut(word: str) -> list[str]:
+        borders = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
+        return [word[a:b] for a, b in zip([0, *borders], [*borders, len(word)], strict=True)] if borders else [word]
+
+    return cut
+
+
 # --- Segmentation of one word, for words that no number holds ---------------------------------------
 
 
@@ -238,14 +249,14 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
     does. All other columns pass through; one named as the ids is replaced. The order of rows is kept.
     """
     held = with_blocks(docs.drop(ids_col))
-    split, is_bpe = splitter(model), model.kind == BPE
+    split, cut, is_bpe = splitter(model), chunker(model), model.kind == BPE
 
     def words_of(batches):
         now, seen = None, set()
 
         def sent():
             # Single characters and words that no number holds need no lattice.
-            words = [w for w in seen if 1 < len(w) <= MOST_CHARS]
+            words = [w for w in {c for word in seen for c in cut(word)} if 1 < len(w) <= MOST_CHARS]
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.string()), pa.array(part, pa.string())], names=[BLOCK, "word"])
@@ -284,19 +295,21 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
 
         class Words(dict):
             def __missing__(self, word):
-                mask = self.masks.get(word)
-                if mask is not None:
-                    cuts = [i for i in range(len(word) + 1) if mask >> i & 1]
-                    pieces = [word[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-                elif len(word) <= MOST_CHARS:
-                    pieces = word
-                else:
-                    pieces = segment_bpe(word, scores) if is_bpe else segment_unigram(word, scores, longest, unknown)
+                pieces = []
+                for part in cut(word):
+                    mask = self.masks.get(part)
+                    if mask is not None:
+                        cuts = [i for i in range(len(part) + 1) if mask >> i & 1]
+                        pieces += [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+                    elif len(part) <= MOST_CHARS:
+                        pieces += part
+                    else:
+                        pieces += segment_bpe(part, scores) if is_bpe else segment_unigram(part, scores, longest, unknown)
                 found = self[word] = packed(pieces)
                 return found
 
         now, words = None, Words()
-        for batch in batches:
+        for batch in sliced(batches):
             texts, out = batch.column(at).cast(pa.string()).to_pylist(), []
             for a, b, block in runs(batch.column(batch.num_columns - 1).to_pylist()):
                 if block != now:
@@ -330,13 +343,14 @@ def decode(docs: DataFrame, model: Model, ids_col: str = "ids", text_col: str =
     def run(batches):
         table = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNKNOWN) else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
         skip = int(model.dummy_prefix)
-        for batch in batches:
-            column = batch.column(at)
-            flat, offsets = [table[i] for i in column.flatten().to_pylist()], [0, *_running(n or 0 for n in column.value_lengths().to_pylist())]
-            texts = []
-            for a, b in zip(offsets, offsets[1:], strict=False):
-                data = b"".join(flat[a:b])
+        for batch in sliced(batches):
+            column, texts = batch.column(at), []
+            flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_pylist()
+            a = 0
+            for b in _running(n or 0 for n in sizes):
+                data = b"".join([table[i] for i in flat[a:b].tolist()])
                 texts.append((data[skip:] if skip and data[:1] == b" " else data).decode("utf-8", "replace"))
+                a = b
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -54,3 +54,10 @@ def runs(values: list):
         if i == len(values) or values[i] != values[start]:
             yield start, i, values[start]
             start = i
+
+
+def sliced(batches, rows: int = 1000):
+    """Batches of fewer rows, so that what is made of them stays small."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
