@@ -15,10 +15,13 @@ Any assignment of classes is right as long as it is common to all, so the class
 holds the most frequent tokens, 8 bytes each, and at most ``MOST_FREQUENT`` of them.
 
 Documents with the same set are one class from the start. Keys and counts cross the network as packed
-arrays. A bucket's members are paired with its first member; links found that way are closed to
-components; then only members of a bucket that are still in different components are paired with each
-other. So a group of copies costs its size, and no link is lost. Every pair is verified on the shingles
-of the texts. Only the texts of candidates move, compressed.
+arrays. A bucket's members are paired with its first member, and links found that way are closed to
+components: a group of copies costs its size. What is left are buckets whose members are in different
+components. Their members form families (closed over shared buckets), and the sets of a family are
+compared all at once, as the product of a matrix of sets and tokens with itself: families are packed into
+blocks of bounded weight, every two blocks of a family meet in one task, and blocks of one component do
+not meet. So no link is lost, and no pair is ever a row. Every link is found on the shingles of the
+texts. Only the texts of candidates move, compressed.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.components import connected_components
-from lociweave.llm.side_tables import BLOCK, read_side, runs, with_blocks, write_side
+from lociweave.operators.graph import connected_components
+from lociweave.llm.side_tables import BLOCK, read_side, runs, sliced, with_blocks, write_side
 from lociweave.runtime import drop_stored, shuffle_partitions, store
 
 #: A token in more documents than this is frequent.
@@ -45,9 +48,11 @@ COUNT_BITS = 36
 PART_BITS = 8
 #: A hub's candidates are verified in groups of about this many.
 UNIT = 256
+#: Tokens of the sets that one block of a family may hold.
+BLOCK_TOKENS = 600_000
 #: Tokens that a task gathers before it sends them off.
-FLUSH = 6_000_000
-BYTES_CHUNK = 4_000_000
+FLUSH = 2_000_000
+BYTES_CHUNK = 1_000_000
 #: In place of a bucket's name: the row is a pair to verify.
 PAIR = -(2**63)
 
@@ -344,49 +349,18 @@ def _bucket_rows(bucket, a, b, step: int = 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step], pa.int64()) for x in (bucket, a, b)], names=["bucket", "a", "b"])
 
 
-def _open_pairs(members: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs of one bucket's members (bucket, class, size, component) that are in different components."""
-    dealt = members.repartition(shuffle_partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket", "component", "cls")
-
-    def run(batches):
-        now, rows = None, []
-
-        def pairs():
-            cls, size, comp = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-            if comp[0] == comp[-1]:
-                return
-            for i in range(len(cls) - 1):
-                at = np.flatnonzero((comp[i + 1 :] != comp[i]) & sim.sizes_fit(size[i + 1 :], size[i])) + i + 1
-                if len(at):
-                    a, b = np.minimum(cls[i], cls[at]), np.maximum(cls[i], cls[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-        for batch in batches:
-            for bucket, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != now and rows:
-                    yield from pairs()
-                    rows = []
-                now = bucket
-                rows.append(row)
-        if rows:
-            yield from pairs()
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
 # --- Verification ----------------------------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(a, b) of the pairs of classes that link. ``docs`` are doc_id, text, block; ``reps`` say where each class has its text."""
-    wanted = pairs.select(F.col("a").alias("d1")).unionAll(pairs.select("b")).distinct()
+def _texts_of(wanted: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(d1, packed): the compressed texts of the classes in ``wanted`` (d1). ``docs`` are doc_id, text, block; ``reps`` say where each class has its text."""
     path = write_side(reps.join(wanted, "d1", "left_semi").select(F.col("block").alias(BLOCK), "doc_id", "d1").distinct(), "candidates")
 
     def fetch(batches):
         import zstandard
 
         shingler, squeeze, loaded, places = Shingler(sim.width), zstandard.ZstdCompressor(3), None, {}
-        for batch in batches:
+        for batch in sliced(batches):
             ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())
             out = {}
             for a, b, block in runs(batch.column(2).to_pylist()):
@@ -404,7 +378,12 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarit
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["d1", "packed"])
 
-    texts = docs.mapInArrow(fetch, "d1 long, packed binary")
+    return docs.mapInArrow(fetch, "d1 long, packed binary")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b) of the pairs of classes that link."""
+    texts = _texts_of(pairs.select(F.col("a").alias("d1")).unionAll(pairs.select("b")).distinct(), reps, docs, sim)
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("units"))
     dealt = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), "units").cast("int").alias("unit"), F.col("b").alias("d1"))
     sides = dealt.unionAll(dealt.select("a", "unit", "a").distinct())
@@ -415,7 +394,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarit
 
         shingler, expand = Shingler(sim.width), zstandard.ZstdDecompressor()
         now, hub, before = None, None, None
-        for batch in batches:
+        for batch in sliced(batches):
             rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
             sets = shingler.sets([expand.decompress(r[3]) for r in rows])
             linked = []
@@ -433,16 +412,120 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarit
     return units.mapInArrow(compare, "a long, b long")
 
 
+# --- Families --------------------------------------------------------------------------------------
+
+
+def _family_links(members: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b): links enough to close what :func:`_verified` left open. ``members`` are (bucket, cls, size, component)."""
+    parts = shuffle_partitions(members.sparkSession)
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("cls").alias("head")).filter("low <> high")
+    met = store(members.join(mixed.select("bucket", "head"), "bucket").select("head", "cls", "size", "component").distinct(), "family-members")
+    families = connected_components(met.select("head", "cls"), "head", "cls").select(F.col("node").alias("cls"), F.col("component").alias("family"))
+    nodes = met.groupBy("cls").agg(F.max("size").alias("size"), F.max("component").alias("component")).join(families, "cls")
+
+    # Components heavier than a block are cut by class; all others of a family are packed together.
+    weights = nodes.groupBy("family", "component").agg(F.sum("size").alias("w"))
+    small = weights.filter(F.col("w") <= BLOCK_TOKENS).groupBy("family").agg(F.ceil(F.sum("w") / BLOCK_TOKENS).cast("int").alias("packs"))
+    placed = nodes.join(weights, ["family", "component"]).join(small, "family", "left")
+    heavy = F.col("w") > BLOCK_TOKENS
+    cuts = F.ceil(F.col("w") / BLOCK_TOKENS).cast("int")
+    block = F.when(heavy, F.concat_ws("/", "component", F.pmod(F.xxhash64("cls"), cuts))).otherwise(F.pmod(F.xxhash64("component"), F.coalesce("packs", F.lit(1))).cast("string"))
+    nodes = store(placed.select("family", "cls", "component", block.alias("block"), F.when(heavy, F.col("component")).alias("whole")), "family-nodes")
+    blocks = nodes.select("family", "block", "whole").distinct()
+    other = blocks.select("family", F.col("block").alias("block2"), F.col("whole").alias("whole2"))
+    # Blocks of one heavy component do not meet, a pack meets itself.
+    meet = blocks.join(other, "family").filter((F.col("block") < F.col("block2")) & ~F.coalesce(F.col("whole") == F.col("whole2"), F.lit(False)) | (F.col("block") == F.col("block2")) & F.col("whole").isNull())
+    unit = F.xxhash64("family", "block", "block2").alias("unit")
+    seats = meet.select("family", "block", unit).unionAll(meet.filter("block <> block2").select("family", F.col("block2").alias("block"), unit))
+    texts = _texts_of(nodes.select(F.col("cls").alias("d1")).distinct(), reps, docs, sim).withColumnRenamed("d1", "cls")
+    rows = seats.join(nodes.select("family", "block", "cls", "component"), ["family", "block"]).join(texts, "cls")
+    dealt = rows.select("unit", "cls", "component", "packed").repartition(parts, "unit").sortWithinPartitions("unit", "cls")
+
+    def run(batches):
+        import zstandard
+
+        shingler, expand = Shingler(sim.width), zstandard.ZstdDecompressor()
+        now, held = None, {}
+
+        def links():
+            found = forest([held[c] for c in held], list(held), sim)
+            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])] if found else []
+
+        for batch in sliced(batches):
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for (unit, cls, component, _), own in zip(rows, shingler.sets([expand.decompress(r[3]) for r in rows]), strict=True):
+                if unit != now:
+                    yield from links()
+                    now, held = unit, {}
+                held[cls] = (own, component)
+        yield from links()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets.
+
+    Tokens of many sets are columns of a dense matrix whose product with itself counts them; those of few are
+    counted pair by pair.
+    """
+    m = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    count = np.diff(np.append(begin, len(flat)))
+    total = np.zeros((m, m), np.float32)
+    dense = np.flatnonzero(count > max(2, m // 8))
+    step = max(1, 4_000_000 // m)
+    for i in range(0, len(dense), step):
+        part = dense[i : i + step]
+        rows = np.concatenate([owner[begin[j] : begin[j] + count[j]] for j in part])
+        matrix = np.zeros((m, len(part)), np.float32)
+        matrix[rows, np.repeat(np.arange(len(part)), count[part])] = 1
+        total += matrix @ matrix.T
+    for k in np.unique(count[(count > 1) & (count <= max(2, m // 8))]):
+        for some in np.array_split(at := begin[count == k], max(1, len(at) * k * k // 2_000_000)):
+            who = owner[some[:, None] + np.arange(k)]
+            total += np.bincount((who[:, :, None] * m + who[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
+    total[np.arange(m), np.arange(m)] = [len(s) for s in sets]
+    return total.astype(np.int64)
+
+
+def forest(held: list, names: list[int], sim: Similarity) -> list[tuple[int, int]]:
+    """Links between sets (tokens, component) of different components, as few as connect what all of them connect."""
+    if len({c for _, c in held}) < 2:
+        return []
+    sizes = np.array([len(s) for s, _ in held])
+    ids = {c: i for i, c in enumerate({c for _, c in held})}
+    comp = np.array([ids[c] for _, c in held])
+    a, b = np.nonzero(np.triu(sim.linked(overlaps([s for s, _ in held]), sizes[:, None], sizes[None]), 1) & (comp[:, None] != comp[None]))
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(comp[i]), find(comp[j])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((names[i], names[j]))
+    return out
+
+
 # --- The operator ----------------------------------------------------------------------------------
 
 
 def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links), n_links.
+    """One row per input row: id, n_shingles, component_id (the smallest id reachable by links).
 
-    n_links counts the classes of equal shingle sets that the row's class links with. Null or wordless
-    texts have an empty set, no links and their own id as component. Texts of fewer words than a shingle
-    are one shingle. Rows that repeat are equal, so they share a component; a null id is never the smallest
-    unless all are. Columns beside the two are ignored. An empty table gives an empty result.
+    Null or wordless texts have an empty set, no links and their own id as component. Texts of fewer words
+    than a shingle are one shingle. Rows that repeat are equal, so they share a component; a null id is never
+    the smallest unless all are. Columns beside the two are ignored. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     held = with_blocks(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(BLOCK))
@@ -460,20 +543,17 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     large = buckets.filter(F.col("bucket") != PAIR).select("bucket", F.col("a").alias("cls"), F.col("b").alias("size")).distinct()
     parts = connected_components(links, "a", "b")
     known = large.join(parts, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("component", "cls").alias("component"))
-    both_ways = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = store(_open_pairs(known, sim).join(both_ways, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(store(_verified(rest, reps, held, sim), "links"))
+    links = links.unionAll(store(_family_links(known, reps, held, sim), "links"))
     drop_stored(buckets)
 
     # From classes to documents.
     name = reps.select("d1", "doc_id")
     ends = links.join(name.select(F.col("d1").alias("a"), F.col("doc_id").alias("u")), "a").join(name.select(F.col("d1").alias("b"), F.col("doc_id").alias("v")), "b")
     found = connected_components(ends.select("u", "v")).select("node", "component")
-    degree = links.select("a", "b").unionAll(links.select(F.col("b"), F.col("a"))).distinct().groupBy("a").count().select(F.col("a").alias("d1"), F.col("count").alias("n_links"))
-    classes = reps.join(degree, "d1", "left").join(found, F.col("doc_id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = rows.filter("n > 0").join(classes, ["d1", "d2"]).select("doc_id", "n", "component_id", "n_links")
-    alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return out.unionAll(alone).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
+    classes = reps.join(found, F.col("doc_id") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.filter("n > 0").join(classes, ["d1", "d2"]).select("doc_id", "n", "component_id")
+    alone = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.unionAll(alone).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, sim: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociweave.llm.components import connected_components
+from lociweave.operators.graph import connected_components
 
 #: (verdict, host, path)
 RULES = (
