@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lociweave.runtime import shuffle_partitions, store
 
 SCALES = (1.0, 1.5, 2.0)
-CORNERS = 24  # of each scale, the strongest
+CORNERS = 14  # of each scale, the strongest
 RADIUS = 9
 TESTS = 128
 ANGLES = 32
@@ -103,7 +103,7 @@ def descriptors(grey: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, n
     return np.concatenate(where), np.concatenate(words)
 
 
-_ROWS = "id long, x float, y float, scale float, angle float, w0 long, w1 long, w2 long, w3 long"
+_ROWS = "id long, corner int, x float, y float, scale float, angle float, w0 long, w1 long, w2 long, w3 long"
 
 
 def describe(media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
@@ -116,17 +116,18 @@ def describe(media: DataFrame, id_col: str = "media_id", image_col: str = "image
                 grey = decode_image(data)
                 if grey is not None:
                     where, words = descriptors(grey)
-                    rows.append((np.full(len(where), i), where, words))
+                    rows.append((np.full(len(where), i), np.arange(len(where)), where, words))
             if rows:
-                ids, where, words = (np.concatenate(c) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), *(pa.array(c.astype(np.float32)) for c in where.T), *(pa.array(c) for c in words.T)], names=[x.split()[0] for x in _ROWS.split(", ")])
+                ids, corner, where, words = (np.concatenate(c) for c in zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(corner.astype(np.int32)), *(pa.array(c.astype(np.float32)) for c in where.T), *(pa.array(c) for c in words.T)], names=[x.split()[0] for x in _ROWS.split(", ")])
 
     return media.select(F.col(id_col).cast("long"), image_col).filter(F.col(id_col).isNotNull()).mapInArrow(run, _ROWS)
 
 
 def _tables(corners: DataFrame, side: str) -> DataFrame:
-    words = F.array(*(F.struct(F.lit(i).alias("table"), F.col(f"w{i}").alias("word")) for i in range(4)))
-    return corners.select(F.struct("id", "x", "y", "scale", "angle", "w0", "w1", "w2", "w3").alias(side), F.explode(words).alias("k")).select("k.table", "k.word", side)
+    """The four hash tables' entries: only keys and places, so that little moves."""
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col(f"w{i}")) for i in range(4)))
+    return corners.select(F.col("id").alias(f"{side}_id"), F.col("corner").alias(f"{side}_corner"), F.explode(keys).alias("key"))
 
 
 def find_copies(queries: DataFrame, media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
@@ -136,10 +137,12 @@ def find_copies(queries: DataFrame, media: DataFrame, id_col: str = "media_id",
     images are all found. Either side may be empty. Null ids and columns beside the two are ignored.
     """
     index, asked = store(describe(media, id_col, image_col), "corners"), store(describe(queries, id_col, image_col), "corners")
-    met = _tables(asked, "q").join(_tables(index, "m"), ["table", "word"])
-    apart = sum(F.bit_count(F.col(f"q.w{i}").bitwiseXOR(F.col(f"m.w{i}"))) for i in range(4))
-    fields = [F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "qm" for c in ("x", "y", "scale", "angle")]
-    pairs = met.filter(apart <= MOST_BITS).select(F.col("q.id").alias("query_id"), F.col("m.id").alias("media_id"), *fields).distinct()
+    met = _tables(asked, "q").join(_tables(index, "m"), "key").select("q_id", "q_corner", "m_id", "m_corner").distinct()
+    named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
+    seen = met.join(named(asked, "q"), ["q_id", "q_corner"]).join(named(index, "m"), ["m_id", "m_corner"])
+    apart = sum(F.bit_count(F.col(f"q_w{i}").bitwiseXOR(F.col(f"m_w{i}"))) for i in range(4))
+    fields = [f"{side}_{c}" for side in "qm" for c in ("x", "y", "scale", "angle")]
+    pairs = seen.filter(apart <= MOST_BITS).select(F.col("q_id").alias("query_id"), F.col("m_id").alias("media_id"), *fields)
     dealt = pairs.repartition(shuffle_partitions(media.sparkSession), "query_id", "media_id").sortWithinPartitions("query_id", "media_id")
 
     def agree(batches):
