@@ -17,11 +17,10 @@ holds the most frequent tokens, 8 bytes each, and at most ``MOST_FREQUENT`` of t
 Documents with the same set are one class from the start. Keys and counts cross the network as packed
 arrays. A bucket's members are paired with its first member, and links found that way are closed to
 components: a group of copies costs its size. What is left are buckets whose members are in different
-components. Their members form families (closed over shared buckets), and the sets of a family are
-compared all at once, as the product of a matrix of sets and tokens with itself: families are packed into
-blocks of bounded weight, every two blocks of a family meet in one task, and blocks of one component do
-not meet. So no link is lost, and no pair is ever a row. Every link is found on the shingles of the
-texts. Only the texts of candidates move, compressed.
+components; only members of different components are paired there, and each pair in the first bucket it
+shares: every member knows its last buckets before this one, and two that share one of these have met
+already. So no link is lost. Every pair is verified on the shingles of the texts. Only the texts of
+candidates move, compressed.
 """
 
 from __future__ import annotations
@@ -31,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.operators.graph import connected_components
@@ -48,8 +47,8 @@ COUNT_BITS = 36
 PART_BITS = 8
 #: A hub's candidates are verified in groups of about this many.
 UNIT = 256
-#: Tokens of the sets that one block of a family may hold.
-BLOCK_TOKENS = 600_000
+#: So many earlier buckets a member knows.
+EARLIER = 4
 #: Tokens that a task gathers before it sends them off.
 FLUSH = 2_000_000
 BYTES_CHUNK = 1_000_000
@@ -336,10 +335,10 @@ def _buckets(keys: DataFrame, sim: Similarity) -> DataFrame:
             pairs = np.unique(np.stack((cls[head[at][fit]], cls[at[fit]]), 1), axis=0)
             yield from _bucket_rows(np.full(len(pairs), PAIR), pairs[:, 0], pairs[:, 1])
             large = np.flatnonzero(count > 2)
-            names = _mix(np.add.reduceat(_mix(cls.astype(_U)), begin) + count.astype(_U)).astype(np.int64) if len(begin) else np.zeros(0, np.int64)
-            large = large[np.unique(names[large], return_index=True)[1]]  # equal buckets once
+            names = _mix(np.add.reduceat(_mix(cls.astype(_U)), begin) + count.astype(_U)) if len(begin) else np.zeros(0, _U)
+            large = large[np.sort(np.unique(names[large], return_index=True)[1])]  # of equal buckets the first
             rows = np.concatenate([np.arange(begin[i], begin[i] + count[i]) for i in large]) if len(large) else np.zeros(0, np.int64)
-            yield from _bucket_rows(np.repeat(names[large], count[large]), cls[rows], size[rows])
+            yield from _bucket_rows(np.repeat(key[begin[large]].astype(np.int64), count[large]), cls[rows], size[rows])
 
     return keys.repartition(1 << PART_BITS, "part").mapInArrow(run, _BUCKETS)
 
@@ -349,6 +348,46 @@ def _bucket_rows(bucket, a, b, step: int = 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step], pa.int64()) for x in (bucket, a, b)], names=["bucket", "a", "b"])
 
 
+def _open_pairs(members: DataFrame, sim: Similarity) -> DataFrame:
+    """Pairs (a, b) of one bucket's members (bucket, cls, size, component) that are in different components.
+
+    Common buckets come in the same order for both of a pair. In the first of them, neither knows an earlier one
+    that the other knows too, so there the pair is made; nearly all later ones see an earlier one in common.
+    """
+    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    before = Window.partitionBy("cls").orderBy("bucket")
+    known = members.join(mixed, "bucket").select("bucket", "component", "cls", "size", *[F.lag("bucket", i).over(before).alias(f"e{i}") for i in range(1, EARLIER + 1)])
+    dealt = known.repartition(shuffle_partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket", "component", "cls")
+
+    def run(batches):
+        now, held = None, []
+
+        def pairs():
+            table = np.concatenate(held)
+            comp, cls, size, earlier = table[:, 0], table[:, 1], table[:, 2], table[:, 3:]
+            for i in range(len(cls) - 1):
+                at = np.flatnonzero((comp[i + 1 :] != comp[i]) & sim.sizes_fit(size[i + 1 :], size[i])) + i + 1
+                own = earlier[i][earlier[i] != PAIR]
+                if len(own) and len(at):
+                    at = at[~np.isin(earlier[at], own).any(1)]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[at])), pa.array(np.maximum(cls[i], cls[at]))], names=["a", "b"])
+
+        for batch in batches:
+            buckets = batch.column(0).to_pylist()
+            table = np.stack([c.fill_null(PAIR).to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1)
+            for a, b, bucket in runs(buckets):
+                if bucket != now and held:
+                    yield from pairs()
+                    held = []
+                now = bucket
+                held.append(table[a:b])
+        if held:
+            yield from pairs()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 # --- Verification ----------------------------------------------------------------------------------
 
 
@@ -412,111 +451,6 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarit
     return units.mapInArrow(compare, "a long, b long")
 
 
-# --- Families --------------------------------------------------------------------------------------
-
-
-def _family_links(members: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(a, b): links enough to close what :func:`_verified` left open. ``members`` are (bucket, cls, size, component)."""
-    parts = shuffle_partitions(members.sparkSession)
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("cls").alias("head")).filter("low <> high")
-    met = store(members.join(mixed.select("bucket", "head"), "bucket").select("head", "cls", "size", "component").distinct(), "family-members")
-    families = connected_components(met.select("head", "cls"), "head", "cls").select(F.col("node").alias("cls"), F.col("component").alias("family"))
-    nodes = met.groupBy("cls").agg(F.max("size").alias("size"), F.max("component").alias("component")).join(families, "cls")
-
-    # Components heavier than a block are cut by class; all others of a family are packed together.
-    weights = nodes.groupBy("family", "component").agg(F.sum("size").alias("w"))
-    small = weights.filter(F.col("w") <= BLOCK_TOKENS).groupBy("family").agg(F.ceil(F.sum("w") / BLOCK_TOKENS).cast("int").alias("packs"))
-    placed = nodes.join(weights, ["family", "component"]).join(small, "family", "left")
-    heavy = F.col("w") > BLOCK_TOKENS
-    cuts = F.ceil(F.col("w") / BLOCK_TOKENS).cast("int")
-    block = F.when(heavy, F.concat_ws("/", "component", F.pmod(F.xxhash64("cls"), cuts))).otherwise(F.pmod(F.xxhash64("component"), F.coalesce("packs", F.lit(1))).cast("string"))
-    nodes = store(placed.select("family", "cls", "component", block.alias("block"), F.when(heavy, F.col("component")).alias("whole")), "family-nodes")
-    blocks = nodes.select("family", "block", "whole").distinct()
-    other = blocks.select("family", F.col("block").alias("block2"), F.col("whole").alias("whole2"))
-    # Blocks of one heavy component do not meet, a pack meets itself.
-    meet = blocks.join(other, "family").filter((F.col("block") < F.col("block2")) & ~F.coalesce(F.col("whole") == F.col("whole2"), F.lit(False)) | (F.col("block") == F.col("block2")) & F.col("whole").isNull())
-    unit = F.xxhash64("family", "block", "block2").alias("unit")
-    seats = meet.select("family", "block", unit).unionAll(meet.filter("block <> block2").select("family", F.col("block2").alias("block"), unit))
-    texts = _texts_of(nodes.select(F.col("cls").alias("d1")).distinct(), reps, docs, sim).withColumnRenamed("d1", "cls")
-    rows = seats.join(nodes.select("family", "block", "cls", "component"), ["family", "block"]).join(texts, "cls")
-    dealt = rows.select("unit", "cls", "component", "packed").repartition(parts, "unit").sortWithinPartitions("unit", "cls")
-
-    def run(batches):
-        import zstandard
-
-        shingler, expand = Shingler(sim.width), zstandard.ZstdDecompressor()
-        now, held = None, {}
-
-        def links():
-            found = forest([held[c] for c in held], list(held), sim)
-            return [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])] if found else []
-
-        for batch in sliced(batches):
-            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
-            for (unit, cls, component, _), own in zip(rows, shingler.sets([expand.decompress(r[3]) for r in rows]), strict=True):
-                if unit != now:
-                    yield from links()
-                    now, held = unit, {}
-                held[cls] = (own, component)
-        yield from links()
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets.
-
-    Tokens of many sets are columns of a dense matrix whose product with itself counts them; those of few are
-    counted pair by pair.
-    """
-    m = len(sets)
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    begin = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
-    count = np.diff(np.append(begin, len(flat)))
-    total = np.zeros((m, m), np.float32)
-    dense = np.flatnonzero(count > max(2, m // 8))
-    step = max(1, 4_000_000 // m)
-    for i in range(0, len(dense), step):
-        part = dense[i : i + step]
-        rows = np.concatenate([owner[begin[j] : begin[j] + count[j]] for j in part])
-        matrix = np.zeros((m, len(part)), np.float32)
-        matrix[rows, np.repeat(np.arange(len(part)), count[part])] = 1
-        total += matrix @ matrix.T
-    for k in np.unique(count[(count > 1) & (count <= max(2, m // 8))]):
-        for some in np.array_split(at := begin[count == k], max(1, len(at) * k * k // 2_000_000)):
-            who = owner[some[:, None] + np.arange(k)]
-            total += np.bincount((who[:, :, None] * m + who[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
-    total[np.arange(m), np.arange(m)] = [len(s) for s in sets]
-    return total.astype(np.int64)
-
-
-def forest(held: list, names: list[int], sim: Similarity) -> list[tuple[int, int]]:
-    """Links between sets (tokens, component) of different components, as few as connect what all of them connect."""
-    if len({c for _, c in held}) < 2:
-        return []
-    sizes = np.array([len(s) for s, _ in held])
-    ids = {c: i for i, c in enumerate({c for _, c in held})}
-    comp = np.array([ids[c] for _, c in held])
-    a, b = np.nonzero(np.triu(sim.linked(overlaps([s for s, _ in held]), sizes[:, None], sizes[None]), 1) & (comp[:, None] != comp[None]))
-    root = list(range(len(ids)))
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(comp[i]), find(comp[j])
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((names[i], names[j]))
-    return out
-
-
 # --- The operator ----------------------------------------------------------------------------------
 
 
@@ -543,7 +477,9 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     large = buckets.filter(F.col("bucket") != PAIR).select("bucket", F.col("a").alias("cls"), F.col("b").alias("size")).distinct()
     parts = connected_components(links, "a", "b")
     known = large.join(parts, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("component", "cls").alias("component"))
-    links = links.unionAll(store(_family_links(known, reps, held, sim), "links"))
+    both_ways = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rest = store(_open_pairs(known, sim).join(both_ways, ["a", "b"], "left_anti"), "pairs")
+    links = links.unionAll(store(_verified(rest, reps, held, sim), "links"))
     drop_stored(buckets)
 
     # From classes to documents.
