@@ -42,7 +42,7 @@ def clone_ends(records: DataFrame) -> DataFrame:
 
 def chromosome_number(name):
     """The first digits of a name; 0 without any."""
-    return F.coalesce(F.expr("try_cast(%s as int)" % "regexp_extract(name, '(\\\\d+)', 1)"), F.lit(0)) if name is None else F.coalesce(F.nullif(F.regexp_extract(name, r"(\d+)", 1), F.lit("")).cast("int"), F.lit(0))
+    return F.coalesce(F.regexp_extract(name, r"(\d+)", 1).try_cast("int"), F.lit(0))
 
 
 def write_fasta(records: DataFrame, path: str, width: int = 80) -> None:
