@@ -26,6 +26,7 @@ import re
 import struct
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from lociweave.runtime import store
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MOST_CHARS = 62
+#: A task remembers no more words than this.
+MOST_WORDS = 150_000
 #: More pieces than this are joined by shuffle; fewer are below 16 MB, which every executor may hold.
 BROADCAST_PIECES = 300_000
 
@@ -242,13 +245,16 @@ def segment(words: DataFrame, model: Model) -> DataFrame:
 # --- Documents -------------------------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
     """``docs`` and an array of ids, equal to the library's; one row per input row.
 
     Null or empty text: no ids. Literal white space symbols in a text are encoded like spaces, as the library
-    does. All other columns pass through; one named as the ids is replaced. The order of rows is kept.
+    does. All other columns pass through (the text itself only with ``keep_text``); one named as the ids is
+    replaced. The order of rows is kept. A column of :func:`with_blocks` is used if there is one.
     """
-    held = with_blocks(docs.drop(ids_col))
+    docs = docs.drop(ids_col)
+    held = docs.select(*[c for c in docs.columns if c != BLOCK], BLOCK) if BLOCK in docs.columns else with_blocks(docs)
+    kept = [c for c in held.columns if c != BLOCK and (keep_text or c != text_col)]
     split, cut, is_bpe = splitter(model), chunker(model), model.kind == BPE
 
     def words_of(batches):
@@ -275,8 +281,8 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
     answers = asked.join(segment(asked.select("word").distinct(), model), "word").select(BLOCK, "word", "mask")
     path = write_side(answers, "block-segments")
 
-    schema = T.StructType([*(f for f in held.schema.fields if f.name != BLOCK), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    at = docs.drop(ids_col).columns.index(text_col)
+    schema = T.StructType([*(held.schema[c] for c in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    at = held.columns.index(text_col)
     longest, unknown = model.longest, unknown_score(model)
 
     def ids_of(batches):
@@ -284,28 +290,32 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
         number = {p: i for i, (p, _, t) in enumerate(model.pieces) if t == NORMAL}
         byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(model.pieces) if t == BYTE}
 
-        def packed(pieces):
-            ids = []
-            for p in pieces:
-                if p in number:
-                    ids.append(number[p])
-                else:
-                    ids += [byte[b] for b in p.encode("utf-8", "surrogatepass")]
-            return struct.pack(f"<{len(ids)}i", *ids)
+        packed = {p: struct.pack("<i", i) for p, i in number.items()}
+
+        def spelled(piece):
+            return b"".join([struct.pack("<i", byte[b]) for b in piece.encode("utf-8", "surrogatepass")])
 
         class Words(dict):
+            """Words met so far, of this block or earlier ones; emptied when it holds too many."""
+
             def __missing__(self, word):
-                pieces = []
+                if len(self) >= MOST_WORDS:
+                    self.clear()
+                out = []
                 for part in cut(word):
                     mask = self.masks.get(part)
                     if mask is not None:
-                        cuts = [i for i in range(len(part) + 1) if mask >> i & 1]
-                        pieces += [part[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-                    elif len(part) <= MOST_CHARS:
-                        pieces += part
-                    else:
-                        pieces += segment_bpe(part, scores) if is_bpe else segment_unigram(part, scores, longest, unknown)
-                found = self[word] = packed(pieces)
+                        start, end, mask = 0, 1, mask >> 1
+                        while mask:
+                            if mask & 1:
+                                piece = part[start:end]
+                                out.append(packed.get(piece) or spelled(piece))
+                                start = end
+                            mask, end = mask >> 1, end + 1
+                        continue
+                    pieces = part if len(part) <= MOST_CHARS else segment_bpe(part, scores) if is_bpe else segment_unigram(part, scores, longest, unknown)
+                    out += [packed.get(p) or spelled(p) for p in pieces]
+                found = self[word] = b"".join(out)
                 return found
 
         now, words = None, Words()
@@ -314,12 +324,12 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
             for a, b, block in runs(batch.column(batch.num_columns - 1).to_pylist()):
                 if block != now:
                     side = read_side(path, block)
-                    words, now = Words(), block
+                    now = block
                     words.masks = {} if side is None else dict(zip(side.column("word").to_pylist(), side.column("mask").to_pylist(), strict=True))
                 out += [b"".join([words[w] for w in split(t or "")]) for t in texts[a:b]]
             offsets = pa.array([0, *_running(len(x) // 4 for x in out)], pa.int32())
             flat = pa.Array.from_buffers(pa.int32(), sum(map(len, out)) // 4, [None, pa.py_buffer(b"".join(out))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
 
     return held.mapInArrow(ids_of, schema)
 
@@ -341,24 +351,32 @@ def decode(docs: DataFrame, model: Model, ids_col: str = "ids", text_col: str =
     at = docs.columns.index(ids_col)
 
     def run(batches):
-        table = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNKNOWN) else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
+        texts = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNKNOWN) else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
+        length = np.array([len(x) for x in texts], np.int64)
+        begin, every = np.cumsum(length) - length, np.frombuffer(b"".join(texts), np.uint8)
         skip = int(model.dummy_prefix)
-        for batch in sliced(batches):
-            column, texts = batch.column(at), []
-            flat, sizes = column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_pylist()
+        for batch in sliced(batches, 200):
+            column, out = batch.column(at), []
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            if len(flat) and not 0 <= flat.min() <= flat.max() < len(length):
+                raise ValueError("an id is not in the model")
+            size = length[flat]
+            upto = np.concatenate(([0], np.cumsum(size)))
+            data = every[np.arange(upto[-1]) + np.repeat(begin[flat] - upto[:-1], size)].tobytes()
             a = 0
-            for b in _running(n or 0 for n in sizes):
-                data = b"".join([table[i] for i in flat[a:b].tolist()])
-                texts.append((data[skip:] if skip and data[:1] == b" " else data).decode("utf-8", "replace"))
+            for b in _running(n or 0 for n in column.value_lengths().to_pylist()):
+                own = data[upto[a] : upto[b]]
+                out.append((own[skip:] if skip and own[:1] == b" " else own).decode("utf-8", "replace"))
                 a = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def op7_sentencepiece(spark, sf_dir):
     model = load_model()
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    ids = encode(docs.drop("lang", "source", "n_chars"), model)
-    back = F.col("decoded") == F.coalesce("text", F.lit(""))
+    docs = with_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("before"), BLOCK)
+    ids = encode(docs, model, keep_text=False)
+    back = F.sha2("decoded", 256) == F.col("before")
     return decode(ids, model).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
