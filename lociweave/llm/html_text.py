@@ -229,7 +229,7 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
 def main_text(html: str) -> str:
     blocks = blocks_of(html)
     keep = minimum_cut([score(b) for b in blocks], smoothness(blocks))
-    return "\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
+    return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -107,7 +107,7 @@ def test_html_main_text():
         '<div class="ad">Buy now, it is cheap.</div><aside>Related things here.</aside><article><h1>A&amp;B</h1><p>One <b>two</b>\n three &#233;.<br>Four<p>Last one.<script>x="</p>"</script></p>'
         '<form><p>Your mail</p></form></article><div id="comments"><p>Nice article, I liked it very much.</p></div><footer>&copy; me</footer></body></html>'
     )
-    assert html_text.main_text(html) == "A&B\nOne two three é. Four\nLast one."
+    assert html_text.main_text(html) == "A&B\n\nOne two three é. Four\n\nLast one."
 
 
 @pytest.mark.parametrize("html", ["", "<", "<p", "</p></div>", "<!-- ", "<script>", '<a href="x', "<p>" * 5000, "a < b"])
