@@ -19,8 +19,9 @@ arrays. A bucket's members are paired with its first member, and links found tha
 components: a group of copies costs its size. What is left are buckets whose members are in different
 components; only members of different components are paired there, and each pair in the first bucket it
 shares: every member knows its last buckets before this one, and two that share one of these have met
-already. So no link is lost. Every pair is verified on the shingles of the texts. Only the texts of
-candidates move, compressed.
+already. Where one component is large, the other's members are paired with the component instead of its
+members, and compared with blocks of it in one task; one link connects them. So no link is lost. Every
+link is found on the shingles of the texts. Only the texts of candidates move, compressed.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ COUNT_BITS = 36
 PART_BITS = 8
 #: A hub's candidates are verified in groups of about this many.
 UNIT = 256
+#: A component of so many classes is compared in blocks.
+LARGE = 64
 #: So many earlier buckets a member knows.
 EARLIER = 4
 #: Tokens that a task gathers before it sends them off.
@@ -348,15 +351,19 @@ def _bucket_rows(bucket, a, b, step: int = 50_000):
         yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step], pa.int64()) for x in (bucket, a, b)], names=["bucket", "a", "b"])
 
 
-def _open_pairs(members: DataFrame, sim: Similarity) -> DataFrame:
-    """Pairs (a, b) of one bucket's members (bucket, cls, size, component) that are in different components.
+def _open_pairs(members: DataFrame, large: DataFrame, sim: Similarity) -> DataFrame:
+    """What is open between one bucket's members (bucket, cls, size, component) of different components: (kind, a, b).
+
+    Kind 0: a and b are classes of components that are not in ``large`` (component). Kind 1: a is a large
+    component, b a class of another. Kind 2: both are large components.
 
     Common buckets come in the same order for both of a pair. In the first of them, neither knows an earlier one
     that the other knows too, so there the pair is made; nearly all later ones see an earlier one in common.
     """
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     before = Window.partitionBy("cls").orderBy("bucket")
-    known = members.join(mixed, "bucket").select("bucket", "component", "cls", "size", *[F.lag("bucket", i).over(before).alias(f"e{i}") for i in range(1, EARLIER + 1)])
+    marked = members.join(large.withColumn("large", F.lit(1).cast("long")), "component", "left")
+    known = marked.join(mixed, "bucket").select("bucket", "component", "cls", "size", F.coalesce("large", F.lit(0)).cast("long").alias("large"), *[F.lag("bucket", i).over(before).alias(f"e{i}") for i in range(1, EARLIER + 1)])
     dealt = known.repartition(shuffle_partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket", "component", "cls")
 
     def run(batches):
@@ -364,14 +371,21 @@ def _open_pairs(members: DataFrame, sim: Similarity) -> DataFrame:
 
         def pairs():
             table = np.concatenate(held)
-            comp, cls, size, earlier = table[:, 0], table[:, 1], table[:, 2], table[:, 3:]
+            wide = table[:, 3] == 1
+            if wide.any():
+                groups, others = np.unique(table[wide, 0]), table[~wide, 1]
+                yield _open_rows(1, np.repeat(groups, len(others)), np.tile(others, len(groups)))
+                low, high = np.triu_indices(len(groups), 1)
+                yield _open_rows(2, groups[low], groups[high])
+                table = table[~wide]
+            comp, cls, size, earlier = table[:, 0], table[:, 1], table[:, 2], table[:, 4:]
             for i in range(len(cls) - 1):
                 at = np.flatnonzero((comp[i + 1 :] != comp[i]) & sim.sizes_fit(size[i + 1 :], size[i])) + i + 1
                 own = earlier[i][earlier[i] != PAIR]
                 if len(own) and len(at):
                     at = at[~np.isin(earlier[at], own).any(1)]
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[at])), pa.array(np.maximum(cls[i], cls[at]))], names=["a", "b"])
+                    yield _open_rows(0, np.minimum(cls[i], cls[at]), np.maximum(cls[i], cls[at]))
 
         for batch in batches:
             buckets = batch.column(0).to_pylist()
@@ -385,7 +399,11 @@ def _open_pairs(members: DataFrame, sim: Similarity) -> DataFrame:
         if held:
             yield from pairs()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "kind int, a long, b long").distinct()
+
+
+def _open_rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
 
 # --- Verification ----------------------------------------------------------------------------------
@@ -451,6 +469,47 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarit
     return units.mapInArrow(compare, "a long, b long")
 
 
+def _block_links(wide: DataFrame, members: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b): for each (component, cls) of ``wide`` a link of the class into each block of the component that has one. ``members`` are all (component, cls) of these components."""
+    texts = _texts_of(wide.select(F.col("cls").alias("d1")).unionAll(members.select("cls")).distinct(), reps, docs, sim).withColumnRenamed("d1", "cls")
+    parts = lambda df, name: df.groupBy("component").agg(F.ceil(F.count("*") / UNIT).cast("int").alias(name))
+    sizes = parts(members, "blocks").join(parts(wide, "groups"), "component")
+    part = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inner = members.join(sizes, "component").select("component", part(F.col("blocks")).alias("block"), each("groups").alias("group"), F.lit(0).alias("role"), "cls")
+    outer = wide.join(sizes, "component").select("component", each("blocks").alias("block"), part(F.col("groups")).alias("group"), F.lit(1).alias("role"), "cls")
+    unit = ["component", "block", "group"]
+    dealt = inner.unionAll(outer).join(texts, "cls").select(*unit, "role", "cls", "packed").repartition(shuffle_partitions(wide.sparkSession), *unit).sortWithinPartitions(*unit, "role", "cls")
+
+    def run(batches):
+        import zstandard
+
+        shingler, expand = Shingler(sim.width), zstandard.ZstdDecompressor()
+        now, names, sets, flat, owner, sizes = None, [], [], None, None, None
+        for batch in sliced(batches):
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            found = []
+            for (*key, role, cls, _), own in zip(rows, shingler.sets([expand.decompress(r[-1]) for r in rows]), strict=True):
+                if key != now:
+                    now, names, sets, flat = key, [], [], None
+                if role == 0:
+                    names.append(cls)
+                    sets.append(own)
+                elif names:
+                    if flat is None:
+                        flat, sizes = np.concatenate(sets), np.array([len(s) for s in sets])
+                        owner = np.repeat(np.arange(len(sets)), sizes)
+                    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    common = np.bincount(owner[own[at] == flat], minlength=len(names))
+                    hits = np.flatnonzero(sim.linked(common, len(own), sizes))
+                    if len(hits):
+                        found.append((names[hits[0]], cls))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 # --- The operator ----------------------------------------------------------------------------------
 
 
@@ -478,8 +537,16 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     parts = connected_components(links, "a", "b")
     known = large.join(parts, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("component", "cls").alias("component"))
     both_ways = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = store(_open_pairs(known, sim).join(both_ways, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(store(_verified(rest, reps, held, sim), "links"))
+    classes = known.select("component", "cls").distinct()
+    heavy = classes.groupBy("component").count().filter(F.col("count") >= LARGE).select("component")
+    still = store(_open_pairs(known, heavy, sim), "open")
+    rest = still.filter("kind = 0").select("a", "b").join(both_ways, ["a", "b"], "left_anti")
+    second = store(_verified(rest, reps, held, sim), "links")
+    # Of two large components, all classes of one are compared with the other.
+    apart = still.filter("kind = 2").select(F.col("a").alias("big"), F.col("b").alias("component")).join(classes, "component").select(F.col("big").alias("component"), "cls")
+    wide = store(still.filter("kind = 1").select(F.col("a").alias("component"), F.col("b").alias("cls")).unionAll(apart).distinct(), "wide")
+    inner = parts.select("component", F.col("node").alias("cls")).join(wide.select("component").distinct(), "component", "left_semi")
+    links = links.unionAll(second).unionAll(store(_block_links(wide, inner, reps, held, sim), "links"))
     drop_stored(buckets)
 
     # From classes to documents.

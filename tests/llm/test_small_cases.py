@@ -176,9 +176,11 @@ def noisy_copies(seed=1, n=90):
     return docs
 
 
-@pytest.mark.parametrize("rare, earlier", [(32, 4), (3, 1), (0, 4)])
-def test_near_duplicates_by_brute_force(spark, monkeypatch, rare, earlier):
+@pytest.mark.parametrize("rare, earlier, large", [(32, 4, 64), (3, 1, 3), (0, 4, 2)])
+def test_near_duplicates_by_brute_force(spark, monkeypatch, rare, earlier, large):
     monkeypatch.setattr(jaccard_join, "RARE_MOST", rare)
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    monkeypatch.setattr(jaccard_join, "UNIT", 5 if large < 64 else 256)
     monkeypatch.setattr(jaccard_join, "EARLIER", earlier)
     docs = noisy_copies()
     df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, n int")
