@@ -1,11 +1,10 @@
 """Cropped and edited copies of images, by local descriptors.
 
 Corners are found on several scales of the grey image. Each gets an orientation from the intensity
-centroid around it and 128 binary tests between pairs of points turned by that orientation. The four
-32-bit words of a descriptor are the keys of four hash tables: two descriptors meet in an equi-join if
-they agree in any word, which every pair of up to three differing bits does, and are compared by
-Hamming distance. Images that share matches are copies if enough of the matches agree on one rotation,
-scale and shift.
+centroid around it and 128 binary tests between pairs of points turned by that orientation. Four pairs of
+a descriptor's 32-bit words are the keys of four hash tables: two descriptors meet in an equi-join if
+they agree in any of these pairs, and are compared by Hamming distance. Images that share matches are
+copies if enough of the matches agree on one rotation, scale and shift.
 
 Images are a column of portable grey or colour maps (binary, ``P5`` or ``P6``).
 """
@@ -28,6 +27,7 @@ RADIUS = 9
 TESTS = 128
 ANGLES = 32
 MOST_BITS = 16
+TABLES = ((0, 1), (2, 3), (0, 2), (1, 3))
 LEAST_INLIERS = 5
 TOLERANCE = 3.0
 
@@ -126,7 +126,7 @@ def describe(media: DataFrame, id_col: str = "media_id", image_col: str = "image
 
 def _tables(corners: DataFrame, side: str) -> DataFrame:
     """The four hash tables' entries: only keys and places, so that little moves."""
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col(f"w{i}")) for i in range(4)))
+    keys = F.array(*(F.xxhash64(F.lit(a), F.col(f"w{a}"), F.lit(b), F.col(f"w{b}")) for a, b in TABLES))
     return corners.select(F.col("id").alias(f"{side}_id"), F.col("corner").alias(f"{side}_corner"), F.explode(keys).alias("key"))
 
 
@@ -199,7 +199,7 @@ def consensus(q: np.ndarray, m: np.ndarray) -> tuple | None:
 
 
 def draw(seed: bytes, size: int = 80) -> np.ndarray:
-    """A scene of overlapping rectangles and discs that depends on nothing but ``seed``."""
+    """A scene of overlapping rectangles and discs with some texture that depends on nothing but ``seed``."""
     rng = np.random.default_rng(int.from_bytes(hashlib.sha256(seed).digest()[:8], "little"))
     grey = np.full((size, size), 128, np.float32)
     yy, xx = np.mgrid[:size, :size]
@@ -210,7 +210,7 @@ def draw(seed: bytes, size: int = 80) -> np.ndarray:
             grey[y : y + h, x : x + w] = level
         else:
             grey[(xx - x) ** 2 + (yy - y) ** 2 <= (w / 2) ** 2] = level
-    return _box(grey, 1)
+    return _box(grey + _box(rng.normal(0, 40, grey.shape).astype(np.float32), 1), 1)
 
 
 def edited(grey: np.ndarray) -> np.ndarray:
