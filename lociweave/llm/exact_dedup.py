@@ -89,7 +89,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     exactly one of them is kept; null ids lose against any other. An empty table gives an empty result.
     """
     named = block_names(docs, id_col, text_col, block_chars)
-    groups = named.groupBy("n_blocks", "name").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    # Stored, so that the join below has an exchange on both sides and the partition of a hot group can be split.
+    groups = store(named.groupBy("n_blocks", "name").agg(F.max("id").alias("keep_id"), F.sum("copies").alias("group_size")), "groups")
     rows = named.join(groups, ["n_blocks", "name"])
     rows = rows.select("id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return rows.select(F.col("id").alias(id_col), "keep_id", "group_size", (F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
@@ -101,7 +102,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that agree in id and text but differ elsewhere count as equal; the least by all columns stays.
     """
     named = block_names(docs, id_col, text_col, block_chars)
-    groups = named.groupBy("n_blocks", "name").agg(F.max(F.struct(F.col("id").isNotNull().alias("has_id"), F.col("id"))).alias("top"))
+    groups = store(named.groupBy("n_blocks", "name").agg(F.max(F.struct(F.col("id").isNotNull().alias("has_id"), F.col("id"))).alias("top")), "groups")
     keep = named.join(groups, ["n_blocks", "name"]).filter(F.col("id").eqNullSafe(F.col("top.id"))).select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("copies").alias("__copies"))
     keyed = docs.withColumn("__own", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
