@@ -78,7 +78,7 @@ def read_fpc(spark: SparkSession, path: str) -> DataFrame:
     order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     bac = F.regexp_extract("value", r'^BAC\s*:\s*"([^"]+)"', 1)
     started = lines.withColumn("bac", F.last(F.when(F.col("value").rlike(r"^(BAC\s*:|Markerdata|Contigdata|Seqdata)"), bac), ignorenulls=True).over(order)).filter("bac <> ''")
-    spot = started.filter(F.col("value").rlike(r'^Map\s+"')).select("bac", F.regexp_extract("value", r'^Map\s+"([^"]+)"', 1).alias("contig"), F.regexp_extract("value", r"Ends Left\s+(-?[\d.]+)", 1).try_cast("double").alias("left"))
+    spot = started.filter(F.col("value").rlike(r'^Map\s+".*Ends Left')).select("bac", F.regexp_extract("value", r'^Map\s+"([^"]+)"', 1).alias("contig"), F.regexp_extract("value", r"Ends Left\s+(-?[\d.]+)", 1).try_cast("double").alias("left"))
     right = started.filter(F.col("value").contains("Ends Right")).select("bac", F.regexp_extract("value", r"Ends Right\s+(-?[\d.]+)", 1).try_cast("double").alias("right"))
     return spot.join(right, "bac", "left")
 
