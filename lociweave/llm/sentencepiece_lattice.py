@@ -118,28 +118,64 @@ def load_model(path: str = MODEL) -> Model:
 
 
 def splitter(model: Model):
-    """Text -> words; their concatenation is the text with white space symbols."""
-    found = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not any("\n" in b for b in model.bigrams) else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+    """(split, spelt): text -> keys of its words, and key -> word; the words' concatenation is the text with white space symbols.
+
+    Where single spaces part the words, as nearly everywhere, a key is what stands between two spaces, and its
+    word has the symbol in front. Other words are their own keys: they start with the symbol or with a line end.
+    """
+    plain = model.dummy_prefix and not any("\n" in b for b in model.bigrams)
+    found = re.compile(f"\n{SPACE}*[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if plain else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def split(text: str) -> list[str]:
         if not text:
             return []
+        if plain:
+            lines = text.replace("\n", " \n")
+            if lines[0] != " " and lines[-1] != " " and "  " not in lines and SPACE not in lines:
+                return lines.split(" ")
         return found((SPACE if model.dummy_prefix else "") + text.replace(" ", SPACE))
 
-    return split
+    def spelt(key: str) -> str:
+        return SPACE + key if plain and key[0] not in (SPACE, "\n") else key
 
+    return split, spelt
 
-def chunker(model: Model):
-    """Word -> the parts that no merge can join."""
-    inside = model.bigrams
 
-    def cut(word: str) -> list[str]:
-        borders = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in inside]
-        return [word[a:b] for a, b in zip([0, *borders], [*borders, len(word)], strict=True)] if borders else [word]
+def chunker(model: Model):
+    """Words -> for each its parts that no merge can join. Works on all characters of the words at once."""
+    letters = sorted({c for pair in model.bigrams for c in pair})
+    number = np.zeros(0x110000, np.uint16)
+    number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+    inside = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+    for a, b in model.bigrams:
+        inside[number[ord(a)], number[ord(b)]] = True
+
+    def cut(words: list[str]):
+        text = "".join(words)
+        x = number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        upto = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        border = ~inside[x, np.append(x[1:], 0)]
+        border[upto - 1] = True
+        ends = np.flatnonzero(border) + 1
+        last = np.searchsorted(ends, upto).tolist()
+        ends = ends.tolist()
+        parts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return (parts[a : b + 1] for a, b in zip([0, *[n + 1 for n in last]], last, strict=False))
 
     return cut
 
 
+def _grouped(texts: list, size: int = 1_000_000):
+    """Neighbouring texts, of about so many characters together."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or "") > size:
+            yield texts[start:i]
+            start, held = i, 0
+        held += len(t or "")
+    yield texts[start:]
+
+
 # --- Segmentation of one word, for words that no number holds ---------------------------------------
 
 
@@ -255,14 +291,18 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
     docs = docs.drop(ids_col)
     held = docs.select(*[c for c in docs.columns if c != BLOCK], BLOCK) if BLOCK in docs.columns else with_blocks(docs)
     kept = [c for c in held.columns if c != BLOCK and (keep_text or c != text_col)]
-    split, cut, is_bpe = splitter(model), chunker(model), model.kind == BPE
+    (split, spelt), is_bpe = splitter(model), model.kind == BPE
 
     def words_of(batches):
-        now, seen = None, set()
+        now, seen, cut = None, set(), chunker(model)
 
         def sent():
             # Single characters and words that no number holds need no lattice.
-            words = [w for w in {c for word in seen for c in cut(word)} if 1 < len(w) <= MOST_CHARS]
+            keys, words = list(seen), set()
+            for i in range(0, len(keys), 50_000):
+                for parts in cut([spelt(k) for k in keys[i : i + 50_000]]):
+                    words.update(parts)
+            words = [w for w in words if 1 < len(w) <= MOST_CHARS]
             for i in range(0, len(words), 50_000):
                 part = words[i : i + 50_000]
                 yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.string()), pa.array(part, pa.string())], names=[BLOCK, "word"])
@@ -295,38 +335,49 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
         def spelled(piece):
             return b"".join([struct.pack("<i", byte[b]) for b in piece.encode("utf-8", "surrogatepass")])
 
-        class Words(dict):
-            """Words met so far, of this block or earlier ones; emptied when it holds too many."""
-
-            def __missing__(self, word):
-                if len(self) >= MOST_WORDS:
-                    self.clear()
+        def ids_of_part(part, mask):
+            if mask is None:
+                pieces = part if len(part) <= MOST_CHARS else segment_bpe(part, scores) if is_bpe else segment_unigram(part, scores, longest, unknown)
+                return b"".join([packed.get(p) or spelled(p) for p in pieces])
+            out, start, end, mask = [], 0, 1, mask >> 1
+            while mask:
+                if mask & 1:
+                    piece = part[start:end]
+                    out.append(packed.get(piece) or spelled(piece))
+                    start = end
+                mask, end = mask >> 1, end + 1
+            return b"".join(out)
+
+        def learn(new, words, known):
+            """Ids of the new keys; the masks in ``known`` turn into the ids of their parts when first met."""
+            for key, parts in zip(new, cut([spelt(k) for k in new]), strict=True):
                 out = []
-                for part in cut(word):
-                    mask = self.masks.get(part)
-                    if mask is not None:
-                        start, end, mask = 0, 1, mask >> 1
-                        while mask:
-                            if mask & 1:
-                                piece = part[start:end]
-                                out.append(packed.get(piece) or spelled(piece))
-                                start = end
-                            mask, end = mask >> 1, end + 1
-                        continue
-                    pieces = part if len(part) <= MOST_CHARS else segment_bpe(part, scores) if is_bpe else segment_unigram(part, scores, longest, unknown)
-                    out += [packed.get(p) or spelled(p) for p in pieces]
-                found = self[word] = b"".join(out)
-                return found
-
-        now, words = None, Words()
+                for part in parts:
+                    ids = known.get(part)
+                    if not isinstance(ids, bytes):
+                        ids = ids_of_part(part, ids)
+                        if part in known:
+                            known[part] = ids
+                    out.append(ids)
+                words[key] = b"".join(out)
+
+        # Words met so far, of this block or earlier ones; emptied when they are too many.
+        now, words, known, cut = None, {}, {}, chunker(model)
         for batch in sliced(batches):
             texts, out = batch.column(at).cast(pa.string()).to_pylist(), []
             for a, b, block in runs(batch.column(batch.num_columns - 1).to_pylist()):
                 if block != now:
                     side = read_side(path, block)
                     now = block
-                    words.masks = {} if side is None else dict(zip(side.column("word").to_pylist(), side.column("mask").to_pylist(), strict=True))
-                out += [b"".join([words[w] for w in split(t or "")]) for t in texts[a:b]]
+                    known = {} if side is None else dict(zip(side.column("word").to_pylist(), side.column("mask").to_pylist(), strict=True))
+                for some in _grouped(texts[a:b]):
+                    keys = [split(t or "") for t in some]
+                    every = set().union(*keys)
+                    if new := every.difference(words):
+                        if len(words) + len(new) > MOST_WORDS:
+                            words, new = {}, every
+                        learn(list(new), words, known)
+                    out += [b"".join([words[k] for k in own]) for own in keys]
             offsets = pa.array([0, *_running(len(x) // 4 for x in out)], pa.int32())
             flat = pa.Array.from_buffers(pa.int32(), sum(map(len, out)) // 4, [None, pa.py_buffer(b"".join(out))])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
