@@ -1,10 +1,10 @@
 """Cropped and edited copies of images, by local descriptors.
 
-Corners are found on several scales of the grey image. Each gets an orientation from the intensity
-centroid around it and 128 binary tests between pairs of points turned by that orientation. Four pairs of
-a descriptor's 32-bit words are the keys of four hash tables: two descriptors meet in an equi-join if
-they agree in any of these pairs, and are compared by Hamming distance. Images that share matches are
-copies if enough of the matches agree on one rotation, scale and shift.
+Corners are found on several scales of the grey image. Each gets an orientation from the intensity centroid around it and 128 binary tests between pairs of
+points turned by that orientation. Descriptors of a query and of an image match if they differ in at most
+``MOST_BITS`` bits. Blocks of images meet in a cross join and all their descriptors are compared, as no key
+covers that many bits with less: in flat scenes a sixtieth of all pairs match. An image is a copy if enough of
+the matches agree on one rotation, scale and shift, clearly more than would by chance.
 
 Images are a column of portable grey or colour maps (binary, ``P5`` or ``P6``).
 """
@@ -22,14 +22,17 @@ from pyspark.sql import functions as F
 from lociweave.runtime import shuffle_partitions, store
 
 SCALES = (1.0, 1.5, 2.0)
-CORNERS = 14  # of each scale, the strongest
 RADIUS = 9
 TESTS = 128
 ANGLES = 32
 MOST_BITS = 16
-TABLES = ((0, 1), (2, 3), (0, 2), (1, 3))
 LEAST_INLIERS = 5
+CHANCE = 10  # so often chance; corners of flat scenes are alike and lie together, so chance alone reaches LEAST_INLIERS
 TOLERANCE = 3.0
+TURN, STRETCH = 0.4, 1.6  # by which the angle and scale of matches that agree may differ
+CORNERS = 14  # of each scale, the strongest
+BLOCK = 8192  # corners a row, or one image
+CELLS = 1 << 20  # numbers held at once
 
 _rng = np.random.default_rng(77)
 _POINTS = np.clip(_rng.normal(0, RADIUS / 2.2, (TESTS, 2, 2)), -RADIUS * 0.7, RADIUS * 0.7)
@@ -103,70 +106,93 @@ def descriptors(grey: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, n
     return np.concatenate(where), np.concatenate(words)
 
 
-_ROWS = "id long, corner int, x float, y float, scale float, angle float, w0 long, w1 long, w2 long, w3 long"
+_BLOCKS = "ids binary, counts binary, places binary, words binary"
 
 
 def describe(media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
-    """One row per corner of each image; null and undecodable images, and such without corners, give none."""
+    """Blocks of images with their corners; null and undecodable images, and such without corners, are left out."""
+
+    def packed(images):
+        ids, where, words = zip(*images, strict=True)
+        columns = np.array(ids, np.int64), np.array([len(w) for w in where], np.int64), np.concatenate(where).astype(np.float32), np.concatenate(words).astype(">u4").view(np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=[x.split()[0] for x in _BLOCKS.split(", ")])
 
     def run(batches):
+        images, size = [], 0
         for batch in batches:
-            rows = []
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                grey = decode_image(data)
-                if grey is not None:
-                    where, words = descriptors(grey)
-                    rows.append((np.full(len(where), i), np.arange(len(where)), where, words))
-            if rows:
-                ids, corner, where, words = (np.concatenate(c) for c in zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(corner.astype(np.int32)), *(pa.array(c.astype(np.float32)) for c in where.T), *(pa.array(c) for c in words.T)], names=[x.split()[0] for x in _ROWS.split(", ")])
-
-    return media.select(F.col(id_col).cast("long"), image_col).filter(F.col(id_col).isNotNull()).mapInArrow(run, _ROWS)
-
-
-def _tables(corners: DataFrame, side: str) -> DataFrame:
-    """The four hash tables' entries: only keys and places, so that little moves."""
-    keys = F.array(*(F.xxhash64(F.lit(a), F.col(f"w{a}"), F.lit(b), F.col(f"w{b}")) for a, b in TABLES))
-    return corners.select(F.col("id").alias(f"{side}_id"), F.col("corner").alias(f"{side}_corner"), F.explode(keys).alias("key"))
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                grey = decode_image(data.as_py())
+                if grey is None:
+                    continue
+                where, words = descriptors(grey)
+                if images and size + len(where) > BLOCK:
+                    yield packed(images)
+                    images, size = [], 0
+                if len(where):
+                    images.append((i, where, words))
+                    size += len(where)
+        if images:
+            yield packed(images)
+
+    return media.select(F.col(id_col).cast("long"), image_col).filter(F.col(id_col).isNotNull()).mapInArrow(run, _BLOCKS)
+
+
+def _unpacked(ids: bytes, counts: bytes, places: bytes, words: bytes) -> tuple:
+    return np.frombuffer(ids, np.int64), np.r_[0, np.cumsum(np.frombuffer(counts, np.int64))], np.frombuffer(places, np.float32).reshape(-1, 4).astype(np.float64), np.frombuffer(words, np.uint64).reshape(-1, 2)
+
+
+def _matches(q: np.ndarray, m: np.ndarray):
+    """(query corner, image corner) of all pairs of descriptors within MOST_BITS."""
+    found = []
+    step = max(1, CELLS // 4 // len(q))
+    for k in range(0, len(m), step):
+        part = m[k : k + step]
+        apart = np.bitwise_count(q[:, 0, None] ^ part[:, 0]) + np.bitwise_count(q[:, 1, None] ^ part[:, 1])
+        a, b = np.nonzero(apart <= MOST_BITS)
+        found.append((a, b + k))
+    return (np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _compare(asked: tuple, media: tuple) -> list[tuple]:
+    """(query_id, media_id, inliers, scale, rotation, dx, dy) of the copies between two blocks."""
+    rows = []
+    ids, ends, places, words = _unpacked(*asked)
+    m_ids, m_ends, m_places, m_words = _unpacked(*media)
+    image = np.repeat(np.arange(len(m_ids)), np.diff(m_ends))
+    areas = [_area(m_places[m_ends[i] : m_ends[i + 1]]) for i in range(len(m_ids))]
+    for k in range(len(ids)):
+        mine = places[ends[k] : ends[k + 1]]
+        a, b = _matches(words[ends[k] : ends[k + 1]], m_words)
+        order = np.argsort(image[b], kind="stable")
+        a, b = a[order], b[order]
+        bounds = np.searchsorted(image[b], np.arange(len(m_ids) + 1))
+        for i in np.nonzero(np.diff(bounds) >= LEAST_INLIERS)[0]:
+            of = slice(bounds[i], bounds[i + 1])
+            got = consensus(mine[a[of]], m_places[b[of]], _area(mine), areas[i])
+            if got is not None:
+                rows.append((int(ids[k]), int(m_ids[i]), *got))
+    return rows
 
 
 def find_copies(queries: DataFrame, media: DataFrame, id_col: str = "media_id", image_col: str = "image") -> DataFrame:
     """(query_id, media_id, inliers, scale, rotation, dx, dy) for each query image and each image it is a copy of.
 
     The transform takes the query's pixels to the other image's; the one with most inliers is given. Repeated
-    images are all found. Either side may be empty. Null ids and columns beside the two are ignored.
+    images are all found. Either side may be empty. Null ids and columns beside the two are ignored. Time grows
+    with the product of the corners of both sides.
     """
     index, asked = store(describe(media, id_col, image_col), "corners"), store(describe(queries, id_col, image_col), "corners")
-    met = _tables(asked, "q").join(_tables(index, "m"), "key").select("q_id", "q_corner", "m_id", "m_corner").distinct()
     named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])
-    seen = met.join(named(asked, "q"), ["q_id", "q_corner"]).join(named(index, "m"), ["m_id", "m_corner"])
-    apart = sum(F.bit_count(F.col(f"q_w{i}").bitwiseXOR(F.col(f"m_w{i}"))) for i in range(4))
-    fields = [f"{side}_{c}" for side in "qm" for c in ("x", "y", "scale", "angle")]
-    pairs = seen.filter(apart <= MOST_BITS).select(F.col("q_id").alias("query_id"), F.col("m_id").alias("media_id"), *fields)
-    dealt = pairs.repartition(shuffle_partitions(media.sparkSession), "query_id", "media_id").sortWithinPartitions("query_id", "media_id")
-
-    def agree(batches):
-        now, rows = None, []
-
-        def result():
-            m = np.array(rows)
-            found = consensus(m[:, :4], m[:, 4:])
-            return [] if found is None else [(*now, *found)]
 
+    def run(batches):
         for batch in batches:
-            out = []
-            for q, i, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (q, i) != now:
-                    if rows:
-                        out += result()
-                    now, rows = (q, i), []
-                rows.append(row)
-            if out:
-                yield _found(out)
-        if rows and (out := result()):
-            yield _found(out)
+            for row in zip(*batch.columns, strict=True):
+                row = [x.as_py() for x in row]
+                if out := _compare(row[:4], row[4:]):
+                    yield _found(out)
 
-    return dealt.mapInArrow(agree, "query_id long, media_id long, inliers long, scale double, rotation double, dx double, dy double")
+    met = named(asked, "q").crossJoin(named(index, "m").repartition(4 * shuffle_partitions(media.sparkSession)))
+    return met.mapInArrow(run, "query_id long, media_id long, inliers long, scale double, rotation double, dx double, dy double")
 
 
 def _found(rows):
@@ -174,25 +200,43 @@ def _found(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["query_id", "media_id", "inliers", "scale", "rotation", "dx", "dy"])
 
 
-def consensus(q: np.ndarray, m: np.ndarray) -> tuple | None:
-    """(inliers, scale, rotation, dx, dy) of the similarity that most matches agree on; None below LEAST_INLIERS places.
+def _area(places: np.ndarray) -> float:
+    return float(np.prod(np.ptp(places[:, :2], axis=0) + 2 * RADIUS))
+
+
+def consensus(q: np.ndarray, m: np.ndarray, q_area: float, m_area: float) -> tuple | None:
+    """(inliers, scale, rotation, dx, dy) of the similarity that most matches agree on, or None.
 
     Every match proposes the similarity of its own position, scale and angle; a match agrees if it lands
-    within the tolerance. Matches at the same place of either image count once.
+    within the tolerance and its own scale and angle are near. Matches at the same place of either image count
+    once. Needed are LEAST_INLIERS places, and CHANCE times the matches that would land by chance more.
     """
-    if len(q) < LEAST_INLIERS:
+    scale, turn = m[:, 2] / q[:, 2], m[:, 3] - q[:, 3]
+    c, s = np.cos(turn) * scale, np.sin(turn) * scale
+    dx, dy = m[:, 0] - (c * q[:, 0] - s * q[:, 1]), m[:, 1] - (s * q[:, 0] + c * q[:, 1])
+    reach = (TOLERANCE * np.maximum(1.0, scale)) ** 2
+    need = LEAST_INLIERS + CHANCE * len(q) * np.pi * reach / np.maximum(m_area, q_area * scale**2)
+    if len(q) < need.min():
         return None
+    one = np.ones(len(q))
+    to_x, to_y, by_x, by_y = (x.astype(np.float32) for x in (np.stack((q[:, 0], q[:, 1], one, m[:, 0])), np.stack((q[:, 0], q[:, 1], one, m[:, 1])), np.stack((c, -s, dx, -one), 1), np.stack((s, c, dy, -one), 1)))
+    least = reach.astype(np.float32)[:, None]
     best, at = 0, None
-    for i in range(len(q)):
-        scale, turn = m[i, 2] / q[i, 2], m[i, 3] - q[i, 3]
-        c, s = np.cos(turn) * scale, np.sin(turn) * scale
-        x, y = c * q[:, 0] - s * q[:, 1], s * q[:, 0] + c * q[:, 1]
-        dx, dy = m[i, 0] - x[i], m[i, 1] - y[i]
-        ok = np.hypot(x + dx - m[:, 0], y + dy - m[:, 1]) <= TOLERANCE * max(1.0, scale)
-        places = min(len({*map(tuple, np.rint(q[ok, :2] / 2))}), len({*map(tuple, np.rint(m[ok, :2] / 2))}))
-        if places > best:
-            best, at = places, (float(scale), float(np.arctan2(np.sin(turn), np.cos(turn))), float(dx), float(dy))
-    return (best, *(round(v, 3) for v in at)) if best >= LEAST_INLIERS else None
+    step = max(1, CELLS // 4 // len(q))
+    for k in range(0, len(q), step):
+        near = (by_x[k : k + step] @ to_x) ** 2 + (by_y[k : k + step] @ to_y) ** 2 <= least[k : k + step]
+        some = np.nonzero(near.sum(1) >= np.maximum(need[k : k + step], best + 1))[0]
+        for i in some + k:
+            j = np.nonzero(near[i - k])[0]
+            j = j[(np.cos(turn[j] - turn[i]) >= np.cos(TURN)) & (np.abs(np.log(scale[j] / scale[i])) <= np.log(STRETCH))]
+            if len(j) < max(need[i], best + 1):
+                continue
+            places = min(len({*map(tuple, np.rint(x[j, :2] / 2).tolist())}) for x in (q, m))
+            if places >= need[i] and places > best:
+                best, at = places, i
+    if at is None:
+        return None
+    return (best, *(round(float(v), 3) for v in (scale[at], np.arctan2(s[at], c[at]), dx[at], dy[at])))
 
 
 # --- Images for the query: the test tables hold none --------------------------------------------------
@@ -213,8 +257,28 @@ def draw(seed: bytes, size: int = 80) -> np.ndarray:
     return _box(grey + _box(rng.normal(0, 40, grey.shape).astype(np.float32), 1), 1)
 
 
-def edited(grey: np.ndarray) -> np.ndarray:
-    """A copy cut out of the image, darkened and with its lower right corner painted over."""
+def _taken(grey: np.ndarray, turn: float, scale: float) -> np.ndarray:
+    """The image turned about its middle and resized, by bilinear samples; its borders repeat outwards."""
+    h, w = grey.shape
+    yy, xx = np.mgrid[: int(h * scale), : int(w * scale)]
+    u, v = (xx + 0.5) / scale - w / 2, (yy + 0.5) / scale - h / 2
+    x, y = np.clip(np.cos(turn) * u - np.sin(turn) * v + w / 2 - 0.5, 0, w - 1.001), np.clip(np.sin(turn) * u + np.cos(turn) * v + h / 2 - 0.5, 0, h - 1.001)
+    x0, y0 = x.astype(int), y.astype(int)
+    fx, fy = x - x0, y - y0
+    return grey[y0, x0] * (1 - fy) * (1 - fx) + grey[y0 + 1, x0] * fy * (1 - fx) + grey[y0, x0 + 1] * (1 - fy) * fx + grey[y0 + 1, x0 + 1] * fy * fx
+
+
+KINDS = ("cut", "turned", "larger", "smaller", "noisy")
+
+
+def edited(grey: np.ndarray, kind: str = "cut") -> np.ndarray:
+    """A copy: cut out, darkened and its lower right corner painted over; or turned; or resized; or with noise."""
+    if kind == "turned":
+        return _taken(grey, 0.5, 1.0)[8:-8, 8:-8]
+    if kind in ("larger", "smaller"):
+        return _taken(grey, 0.0, 1.4 if kind == "larger" else 0.75)
+    if kind == "noisy":
+        return grey + np.random.default_rng(int(grey.sum())).normal(0, 8, grey.shape)
     cut = grey[9:72, 6:74] * 0.8 + 12
     cut[-10:, -12:] = 200
     return cut

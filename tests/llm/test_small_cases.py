@@ -247,6 +247,24 @@ def test_media_edits_are_found_and_others_not(spark):
     assert not media_copies.find_copies(asked.filter("false"), media).count()
 
 
+def test_media_every_kind_of_edit_is_found(spark):
+    scenes = [media_copies.draw(str(i).encode()) for i in range(25)]
+    media = spark.createDataFrame([(i, media_copies.encode_image(g)) for i, g in enumerate(scenes)], "media_id long, image binary")
+    asked = spark.createDataFrame([(100 * k + i, media_copies.encode_image(media_copies.edited(scenes[i], kind))) for k, kind in enumerate(media_copies.KINDS) for i in range(4)], "media_id long, image binary")
+    assert {(r.query_id, r.media_id) for r in media_copies.find_copies(asked, media).collect()} == {(100 * k + i, i) for k in range(5) for i in range(4)}
+
+
+def test_media_matches_by_brute_force():
+    rng = np.random.default_rng(3)
+    m = rng.integers(0, 2**63, (300, 2)).astype(np.uint64)
+    q = m[:80].copy()
+    for i, row in enumerate(q):  # 0 to 19 differing bits, anywhere
+        for bit in rng.choice(128, i % 20, replace=False):
+            row[bit // 64] ^= np.uint64(1 << int(bit % 64))
+    want = {(i, j) for i in range(80) for j in range(300) if sum((int(a) ^ int(b)).bit_count() for a, b in zip(q[i], m[j], strict=True)) <= media_copies.MOST_BITS}
+    assert set(zip(*(x.tolist() for x in media_copies._matches(q, m)), strict=True)) == want and len(want) == 68
+
+
 # --- 7: pieces ---
 
 
