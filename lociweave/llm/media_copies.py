@@ -243,7 +243,7 @@ def consensus(q: np.ndarray, m: np.ndarray, q_area: float, m_area: float) -> tup
 
 
 def draw(seed: bytes, size: int = 80) -> np.ndarray:
-    """A scene of overlapping rectangles and discs with some texture that depends on nothing but ``seed``."""
+    """A scene of overlapping rectangles and discs that depends on nothing but ``seed``."""
     rng = np.random.default_rng(int.from_bytes(hashlib.sha256(seed).digest()[:8], "little"))
     grey = np.full((size, size), 128, np.float32)
     yy, xx = np.mgrid[:size, :size]
@@ -254,7 +254,7 @@ def draw(seed: bytes, size: int = 80) -> np.ndarray:
             grey[y : y + h, x : x + w] = level
         else:
             grey[(xx - x) ** 2 + (yy - y) ** 2 <= (w / 2) ** 2] = level
-    return _box(grey + _box(rng.normal(0, 40, grey.shape).astype(np.float32), 1), 1)
+    return _box(grey, 1)
 
 
 def _taken(grey: np.ndarray, turn: float, scale: float) -> np.ndarray:
@@ -285,14 +285,17 @@ def edited(grey: np.ndarray, kind: str = "cut") -> np.ndarray:
 
 
 def drawn(vectors: DataFrame, edit: bool = False) -> DataFrame:
-    """(vec_id, embedding) -> (media_id, image): each vector's bytes seed its image; a null vector has none."""
+    """(vec_id, embedding) -> (media_id, image): each vector's bytes seed its image; a null vector has none.
+
+    Edits are of each kind in turn, by the hundreds of ``vec_id``.
+    """
 
     def run(batches):
         for batch in batches:
             images = []
-            for v in batch.column(1):
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 grey = None if not v.is_valid else draw(np.asarray(v.values.to_numpy(zero_copy_only=False), np.float32).tobytes())
-                images.append(None if grey is None else encode_image(edited(grey) if edit else grey))
+                images.append(None if grey is None else encode_image(edited(grey, KINDS[(i or 0) // 100 % len(KINDS)]) if edit else grey))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.binary())], names=["media_id", "image"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "media_id long, image binary")
