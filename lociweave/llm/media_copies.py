@@ -1,6 +1,7 @@
 """Cropped and edited copies of images, by local descriptors.
 
-Corners are found on several scales of the grey image. Each gets an orientation from the intensity centroid around it and 128 binary tests between pairs of
+Corners are found on several scales of the grey image, all that are strong enough, so their number grows with
+the image. Each gets an orientation from the intensity centroid around it and 128 binary tests between pairs of
 points turned by that orientation. Descriptors of a query and of an image match if they differ in at most
 ``MOST_BITS`` bits. Blocks of images meet in a cross join and all their descriptors are compared, as no key
 covers that many bits with less: in flat scenes a sixtieth of all pairs match. An image is a copy if enough of
@@ -30,7 +31,6 @@ LEAST_INLIERS = 5
 CHANCE = 10  # so often chance; corners of flat scenes are alike and lie together, so chance alone reaches LEAST_INLIERS
 TOLERANCE = 3.0
 TURN, STRETCH = 0.4, 1.6  # by which the angle and scale of matches that agree may differ
-CORNERS = 14  # of each scale, the strongest
 BLOCK = 8192  # corners a row, or one image
 CELLS = 1 << 20  # numbers held at once
 
@@ -75,7 +75,7 @@ def _smaller(grey: np.ndarray, factor: float) -> np.ndarray:
     return (g[y0][:, x0] * (1 - fy) * (1 - fx) + g[y1][:, x0] * fy * (1 - fx) + g[y0][:, x1] * (1 - fy) * fx + g[y1][:, x1] * fy * fx).astype(np.float32)
 
 
-def descriptors(grey: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, np.ndarray]:
+def descriptors(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, scale, angle) of each corner in the image's own pixels, and its four 32-bit words."""
     where, words = [], []
     edge = RADIUS + 1
@@ -91,8 +91,7 @@ def descriptors(grey: np.ndarray, corners: int = CORNERS) -> tuple[np.ndarray, n
         y, x = np.nonzero((strength == top) & (strength > 50))
         if not len(y):
             continue
-        best = np.lexsort((x, y, -strength[y, x]))[:corners]
-        y, x = y[best] + edge, x[best] + edge
+        y, x = y + edge, x + edge
         s = _box(g, 1)
         patch = s[y[:, None, None] + _YX[0], x[:, None, None] + _YX[1]] * _DISC
         angle = np.arctan2((patch * _YX[0]).sum((1, 2)), (patch * _YX[1]).sum((1, 2)))

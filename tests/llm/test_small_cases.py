@@ -271,6 +271,14 @@ def test_media_scenes_are_flat_and_edits_of_each_kind(spark):
     assert len({r.image for r in media_copies.drawn(vectors, edit=True).collect()}) == 5
 
 
+def test_media_faint_part_of_a_large_image_is_found(spark):
+    scenes = [media_copies.draw(str(i).encode()) for i in range(8)]
+    large = np.concatenate([*scenes[:7], scenes[7] * 0.3 + 90], 1)
+    media = spark.createDataFrame([(1, media_copies.encode_image(large))], "media_id long, image binary")
+    asked = spark.createDataFrame([(2, media_copies.encode_image(large[:, 560:]))], "media_id long, image binary")
+    assert [(r.query_id, r.media_id, round(r.dx)) for r in media_copies.find_copies(asked, media).collect()] == [(2, 1, 560)]
+
+
 # --- 7: pieces ---
 
 
