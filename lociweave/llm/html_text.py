@@ -21,6 +21,9 @@ from pyspark.sql import types as T
 WEIGHTS = {"base": -0.6, "main": 3.0, "boilerplate": -9.0, "heading": 0.4, "sentence": 0.5, "words": 0.06, "links": -3.0, "list": -0.4}
 #: No more words than this count.
 MOST_WORDS = 30
+#: Scripts without spaces: Han, kana and bopomofo have about two letters a word; Thai, Lao, Myanmar and Khmer about four.
+IN_TWOS = re.compile("[\u3005-\u3007\u3041-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af]")
+IN_FOURS = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff]")
 #: Smoothness of consecutive blocks below the same element, of others, and of blocks below one element that are 2 or 3 apart.
 SAME, OTHER, NEAR = 0.5, 0.15, {2: 0.2, 3: 0.1}
 
@@ -147,7 +150,10 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def score(block: Block) -> float:
-    words = min(MOST_WORDS, block.text.count(" ") + 1)
+    words = block.text.count(" ") + 1
+    if not block.text.isascii():
+        words += sum(1 for _ in IN_TWOS.finditer(block.text)) // 2 + sum(1 for _ in IN_FOURS.finditer(block.text)) // 4
+    words = min(MOST_WORDS, words)
     s = WEIGHTS["base"] + words * WEIGHTS["words"] + WEIGHTS["links"] * min(1.0, block.linked / block.size)
     if block.mark:
         s += WEIGHTS["main"] if block.mark > 0 else WEIGHTS["boilerplate"]

@@ -132,6 +132,12 @@ def test_minimum_cut_by_brute_force():
         assert abs(cost(html_text.minimum_cut(s, e)) - best) < 1e-6
 
 
+@pytest.mark.parametrize("text", ["春天的早晨，山谷里的雾气慢慢散开，人们沿着河边走向集市，准备开始新的一天。", "春の朝、谷の霧がゆっくりと晴れ、人々は川沿いを歩いて市場へ向かった。", "ในเช้าของฤดูใบไม้ผลิหมอกในหุบเขาค่อยๆจางลงและผู้คนเดินไปตลาดริมแม่น้ำ", "On a spring morning the mist in the valley clears slowly and people walk to the market."])
+def test_html_plain_blocks_in_scripts_without_spaces(text):
+    page = f"<html><body><div><a href='/'>Home</a></div>{f'<div>{text}</div>' * 3}</body></html>"
+    assert html_text.main_text(page) == "\n\n".join([text] * 3)
+
+
 # --- 4: near duplicates ---
 
 
