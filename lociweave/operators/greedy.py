@@ -11,34 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def arbitrate(candidates: DataFrame, component: str, rank: list, target: str, source: str, start: str = "start", end: str = "end", orientation: str = "orientation", identifier: str = "candidate_id") -> DataFrame:
-    """Best candidates first: one winner per target; a source stretch is used once, unless again in the same orientation and exactly the same place.
-
-    (component, candidate_id, accepted, reason). ``component`` must part candidates that share no target and no source.
-    """
-    cols = [component, target, source, start, end, orientation, identifier]
-    rows = candidates.select(*cols, *[c.alias(f"__r{i}") for i, c in enumerate(rank)])
-    dealt = rows.repartition(component).sortWithinPartitions(component, *[f"__r{i}" for i in range(len(rank))], identifier).select(*cols)
-    kinds = dict(candidates.dtypes)
-
-    def run(batches):
-        now, won, used = object(), {}, {}
-        for pdf in batches:
-            out = []
-            for comp, tgt, src, s, e, strand, cid in pdf.itertuples(index=False):
-                if comp != now:
-                    now, won, used = comp, set(), {}
-                clash = next(((a, b, o) for a, b, o in used.get(src, ()) if s <= b and a <= e and (a, b, o) != (s, e, strand)), None)
-                reason = "target_taken" if tgt in won else "source_taken" if clash else None
-                if reason is None:
-                    won.add(tgt)
-                    used.setdefault(src, []).append((s, e, strand))
-                out.append((comp, cid, reason is None, reason))
-            yield pd.DataFrame(out, columns=[component, identifier, "accepted", "reason"])
-
-    return dealt.mapInPandas(run, f"{component} {kinds[component]}, {identifier} {kinds[identifier]}, accepted boolean, reason string")
-
-
 def tiling_path(df: DataFrame, key: str, identifier: str) -> DataFrame:
     """Minimal tiling of overlapping intervals: from the leftmost on, always the one that overlaps and reaches furthest.
 

@@ -1,6 +1,6 @@
 """Names of all queries over the driver's tables, with the SQL that must give the same rows."""
 
-from lociweave.plans import relational
+from lociweave.plans import relational, repairing
 
-QUERIES = dict(relational.QUERIES)
-ORACLES = dict(relational.ORACLES)
+QUERIES = relational.QUERIES | repairing.QUERIES
+ORACLES = relational.ORACLES | repairing.ORACLES

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import coordinates, nested, sequence
-from lociweave.operators import aggregates, greedy, intervals, ordering, placement
+from lociweave.operators import aggregates, greedy, intervals, ordering, placement, prefix
 from lociweave.runtime import table
 from lociweave.sources.sinks import agp_lines
 
@@ -243,14 +243,6 @@ def q23_tiling_path(spark, sf_dir):
     return greedy.tiling_path(order_spans(spark, sf_dir), "o_custkey", "o_orderkey")
 
 
-@query()
-def q24_arbitration(spark, sf_dir):
-    """Line items of a part compete: one winner per order, and each stretch of a supplier's stock is used once."""
-    items = table(spark, sf_dir, "lineitem").withColumn("start", F.col("l_linenumber").cast("long") * 10).withColumn("end", F.col("l_linenumber").cast("long") * 10 + F.col("l_quantity").cast("long"))
-    rows = items.select("l_partkey", F.col("l_orderkey").alias("target"), F.col("l_suppkey").alias("source"), "start", "end", F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("orientation"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long"), F.round(F.col("l_extendedprice") * 100).cast("long")).alias("candidate_id"), "l_discount", "l_extendedprice")
-    return greedy.arbitrate(rows, "l_partkey", [-F.col("l_discount"), -F.col("l_extendedprice")], "target", "source")
-
-
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount, l_quantity, l_tax FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 CASE WHEN l_discount >= 0.08 AND l_tax <= 0.02 THEN 'type1' WHEN l_discount >= 0.08 THEN 'type2' WHEN l_quantity < 5 THEN 'type3' WHEN l_tax > 0.06 THEN 'type4' WHEN l_quantity > 45 THEN 'type5' ELSE 'type6' END AS error_type,
@@ -313,16 +305,12 @@ def q29_evidence_score(spark, sf_dir):
     return aggregates.evidence_score(sets, "doc_id").filter("score >= 2")
 
 
-@query("""WITH p AS (SELECT DISTINCT substr(p_name, 1, n) AS prefix FROM part, (SELECT unnest([3, 5, 7]) AS n) WHERE length(p_name) >= n AND p_partkey % 7 = n % 7)
-SELECT p_partkey, (SELECT max(prefix) FROM p WHERE starts_with(p_name, prefix) AND length(prefix) = (SELECT max(length(prefix)) FROM p p2 WHERE starts_with(p_name, p2.prefix))) AS prefix FROM part""")
+@query("""WITH p AS (SELECT DISTINCT substr(p_name, 1, 3 + p_partkey::INT % 5) AS prefix FROM part)
+SELECT p_partkey, (SELECT arg_max(prefix, length(prefix)) FROM p WHERE starts_with(p_name, prefix)) AS prefix FROM part""")
 def q30_longest_prefix(spark, sf_dir):
-    """Dataset prefixes have few lengths, so each name is cut to these lengths and equi-joined."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    cut = lambda name: F.explode(F.filter(F.transform(F.array(F.lit(3), F.lit(5), F.lit(7)), lambda n: F.struct(n.alias("n"), F.substring(name, F.lit(1), n).alias("prefix"))), lambda x: F.length(x["prefix"]) == x["n"]))
-    cuts = parts.select("p_partkey", "p_name", cut(F.col("p_name")).alias("x"))
-    known = cuts.filter("p_partkey % 7 = x.n % 7").select("x.prefix").distinct()
-    best = cuts.select("p_name", "x.n", "x.prefix").distinct().join(known, "prefix").groupBy("p_name").agg(F.max_by("prefix", "n").alias("prefix"))
-    return parts.join(best, "p_name", "left").select("p_partkey", "prefix")
+    prefixes = parts.select(F.expr("substring(p_name, 1, 3 + cast(p_partkey as int) % 5)").alias("prefix"))
+    return prefix.longest_prefix(parts, "p_name", prefixes).select("p_partkey", "prefix")
 
 
 @query("""SELECT conv_id, count(*) AS pieces, sum(length(coalesce(text, '')))::BIGINT AS length, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn, role, text)) AS sha256 FROM conversations GROUP BY 1""")
@@ -430,12 +418,12 @@ def q40_chromosome_vote(spark, sf_dir):
     return aggregates.argmax_sum(rows, ["c_nationkey"], "o_orderpriority", F.lit(1))
 
 
-@query(f"""WITH {SPANS}, s AS (SELECT o_custkey, s, e FROM islands), q AS (SELECT o_custkey, o_orderkey, s, s + 20 AS e FROM spans WHERE o_orderkey % 3 = 0)
+@query(f"""WITH {SPANS}, s AS (SELECT o_custkey, s, e FROM islands), q AS (SELECT o_custkey, o_orderkey, s, s + 20 AS e FROM spans)
 SELECT o_custkey, count(q.o_orderkey) > 0 AND coalesce(bool_and(ok), false) AS covers FROM (SELECT DISTINCT o_custkey FROM s) k LEFT JOIN
 (SELECT q.*, EXISTS (SELECT 1 FROM s WHERE s.o_custkey = q.o_custkey AND s.s <= q.s AND q.e <= s.e) AS ok FROM q) q USING (o_custkey) GROUP BY 1""")
 def q41_interval_covers(spark, sf_dir):
     spans = order_spans(spark, sf_dir)
-    asked = spans.filter("o_orderkey % 3 = 0").select("o_custkey", "start", (F.col("start") + 20).alias("end"))
+    asked = spans.select("o_custkey", "start", (F.col("start") + 20).alias("end"))
     return intervals.covers(intervals.islands(spans, ["o_custkey"]).select("o_custkey", "start", "end"), asked, ["o_custkey"])
 
 

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from lociweave.functions import coordinates, nested, sequence
-from lociweave.operators import aggregates, graph, greedy, intervals, ordering, paths, placement
+from lociweave.operators import aggregates, arbitration, decisions, graph, greedy, intervals, ordering, paths, placement
 
 
 def rows(df):
@@ -118,11 +118,26 @@ def test_members_round_trip(spark):
     assert back.first()["cell"] == "(12),-(15),(20)"
 
 
-def test_arbitration_order_decides(spark):
-    data = [(1, "g1", "d", 1, 10, "+", "a", 9), (1, "g1", "e", 1, 10, "+", "b", 8), (1, "g2", "d", 5, 20, "+", "c", 7), (1, "g3", "d", 1, 10, "+", "f", 6), (1, "g4", "d", 11, 20, "-", "g", 5)]
-    df = spark.createDataFrame(data, "comp int, target string, source string, start long, end long, orientation string, candidate_id string, score int")
-    got = greedy.arbitrate(df, "comp", [-F.col("score")], "target", "source")
-    assert rows(got.select("candidate_id", "accepted", F.coalesce("reason", F.lit("")))) == [("a", True, ""), ("b", False, "target_taken"), ("c", False, "source_taken"), ("f", True, ""), ("g", True, "")]
+def candidates(spark, *rows):
+    return spark.createDataFrame(list(rows), "candidate_id string, target string, source string, start long, end long, orientation string, score int")
+
+
+def test_a_stretch_is_used_again_for_other_targets_in_one_orientation_only(spark):
+    best_first = [-F.col("score")]
+    df = candidates(spark, ("c1", "g1", "d", 1001, 2000, "+", 9), ("c2", "g2", "d", 1001, 2000, "+", 9))
+    assert rows(arbitration.arbitrate(df, best_first).select("candidate_id", "outcome", F.coalesce("reuse_of", F.lit("")))) == [("c1", "accepted", ""), ("c2", "accepted", "c1")]
+    df = candidates(spark, ("c1", "g1", "d", 1001, 2000, "+", 9), ("c2", "g2", "d", 1001, 2000, "-", 9), ("c3", "g1", "e", 1, 5, "+", 1), ("c4", "g4", "d", 2001, 2100, "-", 1))
+    assert rows(arbitration.arbitrate(df, best_first).select("candidate_id", "outcome")) == [("c1", "accepted"), ("c2", "conflicted"), ("c3", "rejected"), ("c4", "accepted")]
+    before = candidates(spark, ("u1", "g1", "d", 1500, 1600, "+", 0)).drop("score")
+    got = arbitration.arbitrate(candidates(spark, ("c1", "g1", "d", 1001, 2000, "+", 9), ("c2", "g2", "d", 1590, 2000, "+", 9), ("c3", "g3", "d", 1600, 1700, "-", 5)), best_first, before)
+    assert rows(got.select("candidate_id", "outcome", "reason")) == [("c1", "conflicted", "source_interval_consumed_by:u1"), ("c2", "accepted", "accepted_with_donor_reuse_of:u1"), ("c3", "conflicted", "source_interval_reuse_orientation_conflict")]
+
+
+def test_an_edit_over_an_interval_blocks_its_projection(spark):
+    edits = spark.createDataFrame([("a", 10, 19, 5), ("a", 50, 59, 20), ("b", 1, 1, 9)], "chr string, edit_start long, edit_end long, new_length long")
+    spans = spark.createDataFrame([("x", "a", 1, 9), ("y", "a", 20, 30), ("z", "a", 55, 70), ("w", "a", 60, 61), ("v", "c", 5, 6)], "id string, chr string, start long, end long")
+    got = {r.id: (r.new_start, r.new_end, r.blocked) for r in decisions.projected_through(spans, edits, 25).collect()}
+    assert got == {"x": (1, 9, False), "y": (15, 25, False), "z": (None, None, True), "w": (65, 66, False), "v": (5, 6, False)}
 
 
 def test_tiling(spark):
