@@ -4,7 +4,7 @@ The distinct words of all documents become a table. Their substrings of bounded
 equi-joined to the piece table; what matches are the edges of each word's lattice. The edges are grouped
 by word and folded by ``aggregate``:
 
-* **Unigram models**: Viterbi. The state holds the best score and the last edge of every prefix.
+* **Unigram models**: Viterbi. The state holds the best score and the borders of the best path of every prefix.
 * **BPE models**: the library does not take the best-scoring path there; it merges neighbours, best
   piece first, leftmost of equals. The fold replays that on the same lattice: the state is a bit per
   border between characters, an edge may merge if both its ends are borders and exactly one border lies
@@ -14,32 +14,29 @@ So both give the ids of the library. A word's segmentation is one number (a bit
 to the documents in side tables, one per block of rows; the documents themselves are never shuffled. A
 word of over 62 characters does not fit a number: it is segmented where it stands, by the same rules.
 
-Texts are cut where a white space symbol follows any other character (no piece of the model may run over
-that, which is checked), and between any two characters that stand side by side in no piece: no merge can
-cross such a border. That parts words from their punctuation and leaves far fewer distinct words.
+A word here is what lies between two characters that stand side by side in no piece: no piece and no merge
+can cross such a border. That parts texts at white space and punctuation, and leaves few distinct words.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 import struct
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lociweave.llm.side_tables import BLOCK, read_side, runs, sliced, with_blocks, write_side
-from lociweave.runtime import store
+from lociweave.runtime import drop_stored, store
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MOST_CHARS = 62
-#: A task remembers no more words than this.
-MOST_WORDS = 150_000
 #: More pieces than this are joined by shuffle; fewer are below 16 MB, which every executor may hold.
 BROADCAST_PIECES = 300_000
 
@@ -108,64 +105,56 @@ def load_model(path: str = MODEL) -> Model:
             rules, prefix, squeeze = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
     if rules or squeeze or kind not in (UNIGRAM, BPE):
         raise ValueError("the model rewrites text before encoding or is neither unigram nor BPE")
-    if any(t == USER_DEFINED for _, _, t in pieces):
-        raise ValueError("user-defined pieces are not handled")
+    if any(t in (USER_DEFINED, UNUSED) for _, _, t in pieces):
+        raise ValueError("user-defined and unused pieces are not handled")
     if not all(f"<0x{b:02X}>" in {p for p, _, t in pieces if t == BYTE} for b in range(256)):
         raise ValueError("the model has no piece for every byte, so texts would not come back")
-    if any(re.search(f"[^{SPACE}]{SPACE}", p) for p, _, t in pieces if t == NORMAL):
-        raise ValueError("a piece runs over the start of a word")
     return Model(tuple(pieces), kind, prefix, frozenset(p[i : i + 2] for p, _, t in pieces if t == NORMAL for i in range(len(p) - 1)))
 
 
-def splitter(model: Model):
-    """(split, spelt): text -> keys of its words, and key -> word; the words' concatenation is the text with white space symbols.
+class Cutter:
+    """Texts -> (their words one after another, number of words of each text), on all characters at once."""
 
-    Where single spaces part the words, as nearly everywhere, a key is what stands between two spaces, and its
-    word has the symbol in front. Other words are their own keys: they start with the symbol or with a line end.
-    """
-    plain = model.dummy_prefix and not any("\n" in b for b in model.bigrams)
-    found = re.compile(f"\n{SPACE}*[^{SPACE}\n]*|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if plain else f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+    def __init__(self, model: Model):
+        letters = sorted({c for pair in model.bigrams for c in pair})
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        apart = np.ones((self.width, self.width), bool)
+        for a, b in model.bigrams:
+            apart[self.number[ord(a)], self.number[ord(b)]] = False
+        self.apart = apart.ravel()
+        self.first = SPACE if model.dummy_prefix else ""
 
-    def split(text: str) -> list[str]:
+    def __call__(self, texts: list) -> tuple[pa.Array, np.ndarray]:
+        spelt = [self.first + t if t else "" for t in texts]
+        text = "".join(spelt).replace(" ", SPACE)
         if not text:
-            return []
-        if plain:
-            lines = text.replace("\n", " \n")
-            if lines[0] != " " and lines[-1] != " " and "  " not in lines and SPACE not in lines:
-                return lines.split(" ")
-        return found((SPACE if model.dummy_prefix else "") + text.replace(" ", SPACE))
-
-    def spelt(key: str) -> str:
-        return SPACE + key if plain and key[0] not in (SPACE, "\n") else key
-
-    return split, spelt
-
-
-def chunker(model: Model):
-    """Words -> for each its parts that no merge can join. Works on all characters of the words at once."""
-    letters = sorted({c for pair in model.bigrams for c in pair})
-    number = np.zeros(0x110000, np.uint16)
-    number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
-    inside = np.zeros((len(letters) + 1, len(letters) + 1), bool)
-    for a, b in model.bigrams:
-        inside[number[ord(a)], number[ord(b)]] = True
-
-    def cut(words: list[str]):
-        text = "".join(words)
-        x = number[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        upto = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        border = ~inside[x, np.append(x[1:], 0)]
-        border[upto - 1] = True
+            return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+        x = self.number[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(np.int32)
+        upto = np.cumsum(np.fromiter(map(len, spelt), np.int64, len(spelt)))
+        border = np.empty(len(x), bool)
+        border[:-1] = self.apart[x[:-1] * self.width + x[1:]]
+        border[upto[upto > 0] - 1] = True
         ends = np.flatnonzero(border) + 1
-        last = np.searchsorted(ends, upto).tolist()
-        ends = ends.tolist()
-        parts = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        return (parts[a : b + 1] for a, b in zip([0, *[n + 1 for n in last]], last, strict=False))
+        count = np.diff(np.searchsorted(ends, upto, side="right"), prepend=0)
+        data = text.encode()
+        return _strings(data, np.append(_starts(data), len(data))[ends]), count
+
+
+def _starts(data) -> np.ndarray:
+    """Where the characters of UTF-8 bytes start."""
+    return np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
 
-    return cut
 
+def _strings(data, ends: np.ndarray) -> pa.Array:
+    """The strings that end at these bytes, one after another, without a copy."""
+    offsets = np.zeros(len(ends) + 1, np.int32)
+    offsets[1:] = ends
+    return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data))
 
-def _grouped(texts: list, size: int = 1_000_000):
+
+def _grouped(texts: list, size: int = 4_000_000):
     """Neighbouring texts, of about so many characters together."""
     start = held = 0
     for i, t in enumerate(texts):
@@ -228,27 +217,35 @@ def _bit(i: Column) -> Column:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """Distinct words -> (word, n, edges): the substrings that are pieces, with the bits of their ends and of what lies inside."""
-    spark = words.sparkSession
-    least = 2 if model.kind == BPE else 1  # single characters never merge, so BPE needs no edges for them
-    rows = [(p, float(s)) for p, s, t in model.pieces if t == NORMAL and len(p) >= least]
-    pieces = spark.createDataFrame(rows, "piece string, score double")
-    if len(rows) <= BROADCAST_PIECES:
+    """Distinct words -> (word, n, edges): the substrings that are pieces, by rising cost.
+
+    Of a BPE model, an edge is (place, ends, inside): its place in the order of merging (rank of the score, then
+    start), the bits of its ends and of what lies inside. Of a unigram model it is (cost, s, e).
+    """
+    spark, is_bpe = words.sparkSession, model.kind == BPE
+    least = 2 if is_bpe else 1  # single characters never merge, so BPE needs no edges for them
+    normal = [(p, s) for p, s, t in model.pieces if t == NORMAL and len(p) >= least]
+    rank = {s: i for i, s in enumerate(sorted({s for _, s in normal}, reverse=True))}
+    pieces = spark.createDataFrame([(p, float(s), rank[s] * 64) for p, s in normal], "piece string, score double, place long")
+    if len(normal) <= BROADCAST_PIECES:
         pieces = F.broadcast(pieces)
-    n = F.col("n")
-    span = lambda s: F.transform(F.sequence(s + least, F.least(s + model.longest, n)), lambda e: F.struct(s.alias("s"), e.alias("e"), F.substring("word", s + 1, e - s).alias("piece")))
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - least), span))
-    cut = words.select("word", F.length("word").alias("n")).filter(n >= least)
-    found = cut.select("word", "n", F.explode(spans).alias("x")).select("word", "n", "x.s", "x.e", "x.piece").join(pieces, "piece")
-    edge = F.struct((-F.col("score")).alias("cost"), "s", "e", (_bit(F.col("s")).bitwiseOR(_bit(F.col("e")))).alias("ends"), (_bit(F.col("e")) - _bit(F.col("s") + 1)).alias("inside"))
-    return found.groupBy("word").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(edge)).alias("edges"))
+    # Rows of a word stay in the partition of its group; sorting them by a hash first spares comparing strings.
+    cut = words.select("word", F.xxhash64("word").alias("h"), F.length("word").alias("n")).filter(F.col("n") >= least)
+    starts = cut.select("word", "h", "n", F.explode(F.sequence(F.lit(0), F.col("n") - least)).alias("s"))
+    spans = starts.select("word", "h", "n", "s", F.explode(F.sequence(F.lit(least), F.least(F.lit(max(least, model.longest)), F.col("n") - F.col("s")))).alias("k"))
+    found = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("k"))).join(pieces, "piece")
+    s, e = F.col("s"), F.col("s") + F.col("k")
+    edge = F.struct((F.col("place") + s).alias("place"), _bit(s).bitwiseOR(_bit(e)).alias("ends"), (_bit(e) - _bit(s + 1)).alias("inside")) if is_bpe else F.struct((-F.col("score")).alias("cost"), s, e.alias("e"))
+    return found.groupBy("h", "word").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges")).drop("h")
 
 
 def fold_bpe(n: Column, edges: Column) -> Column:
     """Borders after all merges: bit i is set if a piece starts or ends at character i."""
     may = lambda mask: lambda x: (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["inside"])) == 1)
-    step = lambda mask, _: F.coalesce(mask.bitwiseAND(F.bitwise_not(F.get(F.filter(edges, may(mask)), F.lit(0))["inside"])), mask)
-    return F.aggregate(F.sequence(F.lit(1), F.least(n - 1, n)), _bit(n + 1) - 1, step)
+    # The highest bit, beside all borders, says that nothing can merge any more: later steps need no search.
+    found = lambda mask: mask.bitwiseAND(F.bitwise_not(F.get(F.filter(edges, may(mask)), F.lit(0))["inside"]))
+    step = lambda mask, _: F.when(mask < 0, mask).otherwise(F.coalesce(found(mask), mask.bitwiseOR(F.lit(-(2**63)))))
+    return F.aggregate(F.sequence(F.lit(1), n - 1), _bit(n + 1) - 1, step).bitwiseAND(F.lit(2**63 - 1))
 
 
 def fold_viterbi(n: Column, edges: Column, unknown: float) -> Column:
@@ -281,117 +278,174 @@ def segment(words: DataFrame, model: Model) -> DataFrame:
 # --- Documents -------------------------------------------------------------------------------------
 
 
-def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True) -> DataFrame:
-    """``docs`` and an array of ids, equal to the library's; one row per input row.
+def _words_of(model: Model):
+    """Batches of (block, text) -> the distinct words of each block, without those that need no lattice: single characters and too long ones."""
 
-    Null or empty text: no ids. Literal white space symbols in a text are encoded like spaces, as the library
-    does. All other columns pass through (the text itself only with ``keep_text``); one named as the ids is
-    replaced. The order of rows is kept. A column of :func:`with_blocks` is used if there is one.
-    """
-    docs = docs.drop(ids_col)
-    held = docs.select(*[c for c in docs.columns if c != BLOCK], BLOCK) if BLOCK in docs.columns else with_blocks(docs)
-    kept = [c for c in held.columns if c != BLOCK and (keep_text or c != text_col)]
-    (split, spelt), is_bpe = splitter(model), model.kind == BPE
+    def run(batches):
+        now, found, held, cut = None, [], 0, Cutter(model)
 
-    def words_of(batches):
-        now, seen, cut = None, set(), chunker(model)
+        def distinct():
+            return pa.concat_arrays(found).unique() if found else pa.array([], pa.string())
 
         def sent():
-            # Single characters and words that no number holds need no lattice.
-            keys, words = list(seen), set()
-            for i in range(0, len(keys), 50_000):
-                for parts in cut([spelt(k) for k in keys[i : i + 50_000]]):
-                    words.update(parts)
-            words = [w for w in words if 1 < len(w) <= MOST_CHARS]
+            words = distinct()
             for i in range(0, len(words), 50_000):
-                part = words[i : i + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([now] * len(part), pa.string()), pa.array(part, pa.string())], names=[BLOCK, "word"])
+                part = words.slice(i, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(now, pa.string()), len(part)), part], names=[BLOCK, "word"])
 
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
+        for batch in sliced(batches, 500):
             for a, b, block in runs(batch.column(0).to_pylist()):
                 if block != now:
                     yield from sent()
-                    now, seen = block, set()
-                for t in texts[a:b]:
-                    seen.update(split(t or ""))
+                    now, found, held = block, [], 0
+                for some in _grouped(batch.column(1).slice(a, b - a).to_pylist()):
+                    words = cut(some)[0].unique()
+                    n = pc.utf8_length(words)
+                    found.append(words.filter(pc.and_(pc.greater(n, 1), pc.less_equal(n, MOST_CHARS))))
+                    held += len(found[-1])
+                    if held > 1_000_000:
+                        found = [distinct()]
+                        held = len(found[0]) // 2
         yield from sent()
 
-    asked = store(held.select(BLOCK, F.col(text_col).cast("string")).mapInArrow(words_of, f"{BLOCK} string, word string"), "block-words")
+    return run
+
+
+class Speller:
+    """A table of words and their ids; ``load`` takes the words of a block with their borders, unknown ones are spelt when met."""
+
+    def __init__(self, model: Model):
+        self.model, self.scores = model, {p: s for p, s, t in model.pieces if t == NORMAL}
+        self.longest, self.unknown = model.longest, unknown_score(model)
+        names = [(p, i) for i, (p, _, t) in enumerate(model.pieces) if t == NORMAL]
+        self.pieces, self.number = pa.array([p for p, _ in names], pa.string()), np.array([i for _, i in names], np.int32)
+        self.byte = np.zeros(256, np.int32)
+        for i, (p, _, t) in enumerate(model.pieces):
+            if t == BYTE:
+                self.byte[int(p[3:5], 16)] = i
+        self.load(pa.array([], pa.string()), np.zeros(0, np.int64))
+
+    def _ids(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces one after another, and where each piece's end. What is no piece is spelt by its bytes."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        known = np.asarray(at.is_valid())
+        offsets = np.frombuffer(pieces.buffers()[1], np.int32)[: len(pieces) + 1].astype(np.int64)
+        n = np.where(known, 1, np.diff(offsets))
+        ends = np.cumsum(n)
+        out = np.empty(ends[-1] if len(ends) else 0, np.int32)
+        out[ends[known] - 1] = self.number[np.asarray(at.drop_null())]
+        if not known.all():
+            size = n[~known]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            data = np.frombuffer(pieces.buffers()[2], np.uint8)
+            out[np.repeat((ends - n)[~known], size) + within] = self.byte[data[np.repeat(offsets[:-1][~known], size) + within]]
+        return out, ends
+
+    def load(self, words: pa.Array, masks: np.ndarray) -> None:
+        """A piece ends after character i of a word if bit i + 1 of its mask is set."""
+        data = "".join(words.to_pylist()).encode()
+        size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.cumsum(size)
+        within = np.arange(size.sum()) - np.repeat(upto - size, size)
+        last = np.flatnonzero((np.repeat(masks, size) >> (within + 1)) & 1) + 1
+        ids, ends = self._ids(_strings(data, np.append(_starts(data), len(data))[last]))
+        self.words, self.flat = words, ids
+        self.offsets = np.concatenate(([0], ends[np.searchsorted(last, upto, side="right") - 1])) if len(words) else np.zeros(1, np.int64)
+
+    def learn(self, words: pa.Array) -> None:
+        """Words that the block's table does not have: no edge is in them, or no number holds them."""
+        found = []
+        for w in words.to_pylist():
+            pieces = list(w) if len(w) <= MOST_CHARS else segment_bpe(w, self.scores) if self.model.kind == BPE else segment_unigram(w, self.scores, self.longest, self.unknown)
+            found.append(self._ids(pa.array(pieces, pa.string()))[0] if len(pieces) > 1 else self._one(w))
+        self.words = pa.concat_arrays([self.words, words])
+        self.offsets = np.concatenate((self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in found])))
+        self.flat = np.concatenate((self.flat, *found))
+
+    def _one(self, letter: str) -> np.ndarray:
+        return self._ids(pa.array([letter], pa.string()))[0]
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of words one after another, where each word's end)."""
+        at = pc.index_in(words, value_set=self.words)
+        if at.null_count:
+            self.learn(words.filter(at.is_null()).unique())
+            at = pc.index_in(words, value_set=self.words)
+        at = at.to_numpy()
+        begin = self.offsets[at]
+        n = self.offsets[at + 1] - begin
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(begin - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+class Decoder:
+    """Ids one after another and their number of each text -> texts."""
+
+    def __init__(self, model: Model):
+        texts = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNKNOWN) else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
+        self.length = np.array([len(x) for x in texts], np.int64)
+        self.begin, self.every = np.cumsum(self.length) - self.length, np.frombuffer(b"".join(texts), np.uint8)
+        self.skip = int(model.dummy_prefix)
+
+    def __call__(self, ids: np.ndarray, sizes) -> list[str]:
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.length):
+            raise ValueError("an id is not in the model")
+        n = self.length[ids]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        data = self.every[np.arange(upto[-1]) + np.repeat(self.begin[ids] - upto[:-1], n)].tobytes()
+        out, a = [], 0
+        for b in upto[np.cumsum(np.asarray(sizes, np.int64))].tolist():
+            own = data[a:b]
+            out.append((own[self.skip :] if self.skip and own[:1] == b" " else own).decode("utf-8", "replace"))
+            a = b
+        return out
+
+
+def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str = "ids", keep_text: bool = True, decoded_col: str | None = None) -> DataFrame:
+    """``docs`` and an array of ids, equal to the library's; one row per input row.
+
+    Null or empty text: no ids. Literal white space symbols in a text are encoded like spaces, as the library
+    does. All other columns pass through (the text itself only with ``keep_text``); one named as the ids is
+    replaced. With ``decoded_col`` the ids are decoded again in the same pass. The order of rows is kept. A column of :func:`with_blocks` is used if there is one. Of equally
+    good merges the leftmost comes first; of paths of equal cost that with the smaller border bits. Texts of any
+    length are read whole, about four million characters at a time where there are several. An empty table gives an empty one.
+    """
+    docs = docs.drop(ids_col, *([decoded_col] if decoded_col else []))
+    held = docs.select(*[c for c in docs.columns if c != BLOCK], BLOCK) if BLOCK in docs.columns else with_blocks(docs)
+    kept = [c for c in held.columns if c != BLOCK and (keep_text or c != text_col)]
+    asked = store(held.select(BLOCK, F.col(text_col).cast("string")).mapInArrow(_words_of(model), f"{BLOCK} string, word string"), "block-words")
     answers = asked.join(segment(asked.select("word").distinct(), model), "word").select(BLOCK, "word", "mask")
     path = write_side(answers, "block-segments")
+    drop_stored(asked)
 
-    schema = T.StructType([*(held.schema[c] for c in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*(held.schema[c] for c in kept), T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
     at = held.columns.index(text_col)
-    longest, unknown = model.longest, unknown_score(model)
 
     def ids_of(batches):
-        scores = {p: s for p, s, t in model.pieces if t == NORMAL}
-        number = {p: i for i, (p, _, t) in enumerate(model.pieces) if t == NORMAL}
-        byte = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(model.pieces) if t == BYTE}
-
-        packed = {p: struct.pack("<i", i) for p, i in number.items()}
-
-        def spelled(piece):
-            return b"".join([struct.pack("<i", byte[b]) for b in piece.encode("utf-8", "surrogatepass")])
-
-        def ids_of_part(part, mask):
-            if mask is None:
-                pieces = part if len(part) <= MOST_CHARS else segment_bpe(part, scores) if is_bpe else segment_unigram(part, scores, longest, unknown)
-                return b"".join([packed.get(p) or spelled(p) for p in pieces])
-            out, start, end, mask = [], 0, 1, mask >> 1
-            while mask:
-                if mask & 1:
-                    piece = part[start:end]
-                    out.append(packed.get(piece) or spelled(piece))
-                    start = end
-                mask, end = mask >> 1, end + 1
-            return b"".join(out)
-
-        def learn(new, words, known):
-            """Ids of the new keys; the masks in ``known`` turn into the ids of their parts when first met."""
-            for key, parts in zip(new, cut([spelt(k) for k in new]), strict=True):
-                out = []
-                for part in parts:
-                    ids = known.get(part)
-                    if not isinstance(ids, bytes):
-                        ids = ids_of_part(part, ids)
-                        if part in known:
-                            known[part] = ids
-                    out.append(ids)
-                words[key] = b"".join(out)
-
-        # Words met so far, of this block or earlier ones; emptied when they are too many.
-        now, words, known, cut = None, {}, {}, chunker(model)
-        for batch in sliced(batches):
-            texts, out = batch.column(at).cast(pa.string()).to_pylist(), []
+        now, cut, spell, back = None, Cutter(model), Speller(model), Decoder(model)
+        for batch in sliced(batches, 1000):
+            texts, ids, sizes, decoded = batch.column(at).cast(pa.string()), [], [], []
             for a, b, block in runs(batch.column(batch.num_columns - 1).to_pylist()):
                 if block != now:
-                    side = read_side(path, block)
-                    now = block
-                    known = {} if side is None else dict(zip(side.column("word").to_pylist(), side.column("mask").to_pylist(), strict=True))
-                for some in _grouped(texts[a:b]):
-                    keys = [split(t or "") for t in some]
-                    every = set().union(*keys)
-                    if new := every.difference(words):
-                        if len(words) + len(new) > MOST_WORDS:
-                            words, new = {}, every
-                        learn(list(new), words, known)
-                    out += [b"".join([words[k] for k in own]) for own in keys]
-            offsets = pa.array([0, *_running(len(x) // 4 for x in out)], pa.int32())
-            flat = pa.Array.from_buffers(pa.int32(), sum(map(len, out)) // 4, [None, pa.py_buffer(b"".join(out))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(offsets, flat)], names=schema.names)
+                    side, now = read_side(path, block), block
+                    if side is None:
+                        spell.load(pa.array([], pa.string()), np.zeros(0, np.int64))
+                    else:
+                        spell.load(pa.concat_arrays(side.column("word").chunks), side.column("mask").to_numpy())
+                for some in _grouped(texts.slice(a, b - a).to_pylist()):
+                    words, count = cut(some)
+                    flat, ends = spell(words)
+                    ids.append(flat)
+                    sizes.append(np.diff(np.concatenate(([0], ends))[np.cumsum(count)], prepend=0))
+                    if decoded_col:
+                        decoded += back(flat, sizes[-1])
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, *([pa.array(decoded, pa.string())] if decoded_col else [])], names=schema.names)
 
     return held.mapInArrow(ids_of, schema)
 
 
-def _running(sizes):
-    total = 0
-    for s in sizes:
-        total += s
-        yield total
-
-
 def decode(docs: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` and the text of the ids; bytes that are no UTF-8 become U+FFFD. Null or empty ids: empty text.
 
@@ -402,24 +456,12 @@ def decode(docs: DataFrame, model: Model, ids_col: str = "ids", text_col: str =
     at = docs.columns.index(ids_col)
 
     def run(batches):
-        texts = [bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t in (CONTROL, UNKNOWN) else p.replace(SPACE, " ").encode() for p, _, t in model.pieces]
-        length = np.array([len(x) for x in texts], np.int64)
-        begin, every = np.cumsum(length) - length, np.frombuffer(b"".join(texts), np.uint8)
-        skip = int(model.dummy_prefix)
+        back = Decoder(model)
         for batch in sliced(batches, 200):
-            column, out = batch.column(at), []
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            if len(flat) and not 0 <= flat.min() <= flat.max() < len(length):
-                raise ValueError("an id is not in the model")
-            size = length[flat]
-            upto = np.concatenate(([0], np.cumsum(size)))
-            data = every[np.arange(upto[-1]) + np.repeat(begin[flat] - upto[:-1], size)].tobytes()
-            a = 0
-            for b in _running(n or 0 for n in column.value_lengths().to_pylist()):
-                own = data[upto[a] : upto[b]]
-                out.append((own[skip:] if skip and own[:1] == b" " else own).decode("utf-8", "replace"))
-                a = b
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=schema.names)
+            column = batch.column(at)
+            sizes = [n or 0 for n in column.value_lengths().to_pylist()]
+            texts = back(column.flatten().to_numpy(zero_copy_only=False), sizes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -428,6 +470,5 @@ def op7_sentencepiece(spark, sf_dir):
     model = load_model()
     docs = with_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     docs = docs.select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("before"), BLOCK)
-    ids = encode(docs, model, keep_text=False)
-    back = F.sha2("decoded", 256) == F.col("before")
-    return decode(ids, model).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", back.alias("round_trip"))
+    out = encode(docs, model, keep_text=False, decoded_col="decoded")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("before")).alias("round_trip"))
