@@ -15,6 +15,8 @@ copies arrives once per task. Further levels carry integers, and only for texts
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,16 +101,24 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns as they were.
 
-    Rows that agree in id and text but differ elsewhere count as equal; the least by all columns stays.
+    Rows that agree in id and text but differ elsewhere count as equal; the least by all columns stays (by those
+    that can be ordered, then by a text of the row). Null text counts as empty; a null id loses against any other.
+    Columns of any type and name pass through. An empty table gives an empty one.
     """
-    named = block_names(docs, id_col, text_col, block_chars)
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    held = docs.toDF(*own.values())
+    id_col, text_col = own[id_col], own[text_col]
+    named = block_names(held, id_col, text_col, block_chars)
     groups = store(named.groupBy("n_blocks", "name").agg(F.max(F.struct(F.col("id").isNotNull().alias("has_id"), F.col("id"))).alias("top")), "groups")
     keep = named.join(groups, ["n_blocks", "name"]).filter(F.col("id").eqNullSafe(F.col("top.id"))).select(F.col("id").alias("__id"), F.col("text_sha256").alias("__sha"), F.col("copies").alias("__copies"))
-    keyed = docs.withColumn("__own", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")))
-    single = kept.filter("__copies = 1").select(docs.columns)
-    several = kept.filter("__copies > 1").groupBy("__id", "__sha").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return single.unionAll(several)
+    keyed = held.withColumn("__sum", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    kept = keyed.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sum") == F.col("__sha")))
+    single = kept.filter("__copies = 1").select(*held.columns)
+    # Maps and variants have no order: the text of the row decides there.
+    plain = [f.name for f in held.schema.fields if not re.search("map|variant", f.dataType.simpleString())]
+    order = F.struct(*plain, F.to_json(F.struct(*[F.col(c).cast("string") for c in held.columns])).alias("__text"))
+    several = kept.filter("__copies > 1").groupBy("__id", "__sha").agg(F.min_by(F.struct(*held.columns), order).alias("__row")).select("__row.*")
+    return single.unionAll(several).select(*[F.col(inner).alias(c) for c, inner in own.items()])
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -4,12 +4,16 @@ A page is cut into text blocks at block-level tags. A linear classifier gives ea
 being content: a positive score is its capacity from the source, a negative one its capacity to the
 sink. Consecutive blocks, and blocks near each other below the same element, are joined by smoothness
 edges. The minimum cut of that graph separates content (source side) from boilerplate.
+
+What an element says of itself is evidence of three strengths, not a verdict: an element made for it (``nav``,
+``article``) or a whole class name (``sidebar``) counts much, one word of a longer class name (``post-header``)
+little, so that a long paragraph and its neighbours outweigh it. Below several such elements the costs add up no further.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from html import unescape
 
 import pyarrow as pa
@@ -17,20 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociweave.llm.side_tables import sliced
+
 #: Weights of the classifier, in units of log odds.
-WEIGHTS = {"base": -0.6, "main": 3.0, "boilerplate": -9.0, "heading": 0.4, "sentence": 0.5, "words": 0.06, "links": -3.0, "list": -0.4}
+WEIGHTS = {"base": -0.6, "main": 3.0, "boilerplate": -6.0, "hint": -1.0, "heading": 1.2, "sentence": 0.5, "words": 0.06, "links": -3.0, "links in main": -1.5, "list": -0.4}
 #: No more words than this count.
 MOST_WORDS = 30
 #: Scripts without spaces: Han, kana and bopomofo have about two letters a word; Thai, Lao, Myanmar and Khmer about four.
 IN_TWOS = re.compile("[\u3005-\u3007\u3041-\u312f\u31a0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U000323af]")
 IN_FOURS = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff]")
-#: Smoothness of consecutive blocks below the same element, of others, and of blocks below one element that are 2 or 3 apart.
-SAME, OTHER, NEAR = 0.5, 0.15, {2: 0.2, 3: 0.1}
+#: Smoothness of consecutive blocks below the same element, of a heading and what follows, of others, and of blocks below one element that are 2 or 3 apart.
+SAME, HEADED, OTHER, NEAR = 0.7, 1.0, 0.15, {2: 0.3, 3: 0.15}
 
 BREAKS = frozenset(
-    "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul video audio canvas iframe object".split()
+    "address article aside blockquote body button caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul video audio canvas iframe".split()
 )
-SKIPPED = frozenset("script style noscript template title textarea svg math iframe object head".split())
+SKIPPED = frozenset("script style noscript template title textarea svg iframe head".split())
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table select div section article main nav aside footer header form body td th li blockquote".split())
@@ -39,6 +45,10 @@ BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary searc
 BOILERPLATE_WORDS = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar sidenav widget related recommended recommendations share sharing social follow comment comments commentlist disqus reply replies respond discussion footer header masthead topbar nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar search copyright legal skip".split()
 )
+#: Of these, the words that mean the same in a longer class name.
+CERTAIN_WORDS = frozenset("ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner widget related recommended recommendations comment cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login sidebar sidenav commentlist comments disqus respond discussion nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar copyright".split())
+#: With one of these the others are certain too, as are two of them in one name.
+WHOLE_PAGE = frozenset("site page global".split())
 MAIN_WORDS = frozenset("article articlebody content maincontent post postbody entry story main body text".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[/A-Za-z][^<>]*\Z", re.S)
@@ -54,22 +64,30 @@ class Block:
         self.text, self.linked, self.size, self.mark, self.parent, self.heading, self.item = text, linked, size, mark, parent, heading, item
 
 
+#: Marks of an element: boilerplate, a hint of it, main text, main text with such a hint inside; nothing is 0.
+BOILERPLATE, HINT, MAIN, MAIN_HINT = -2, -1, 1, 2
+
+
 def _own_mark(tag: str, attributes: str) -> tuple[int, bool]:
-    """What an element says of what it holds: -1 boilerplate, 1 main text, 0 nothing; and whether it is a page header."""
-    said = 1 if tag in ("article", "main") else -1 if tag in BOILERPLATE_TAGS else 0
+    """What an element says of what it holds, and whether it is a page header."""
+    said = MAIN if tag in ("article", "main") else BOILERPLATE if tag in BOILERPLATE_TAGS else 0
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name in ("class", "id"):
+                whole = set(value.split())
                 words = set(re.split(r"[^a-z]+", value))
-                if words & BOILERPLATE_WORDS and tag not in ("body", "html", "article", "main"):
-                    return -1, False
+                if tag not in ("body", "html", "article", "main"):
+                    if whole & BOILERPLATE_WORDS or words & CERTAIN_WORDS or any(len(BOILERPLATE_WORDS.union(WHOLE_PAGE).intersection(re.split(r"[^a-z]+", w))) > 1 for w in whole):
+                        return BOILERPLATE, False
+                    if words & BOILERPLATE_WORDS:
+                        said = min(said, HINT) if said <= 0 else said
                 if words & MAIN_WORDS and not said:
-                    said = 1
+                    said = MAIN
             elif name == "role" and value in BOILERPLATE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return -1, False
+                return BOILERPLATE, False
             elif name == "role" and value == "main" or name == "itemprop" and value == "articlebody":
-                said = 1
+                said = MAIN
     return said, tag == "header"
 
 
@@ -78,16 +96,22 @@ def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     stack: list[tuple[str, int, int]] = [("", 0, 0)]  # tag, mark that holds below it, number of the element
     pieces: list[tuple[str, bool]] = []
+    standing: Counter = Counter()  # tags on the stack
     anchors = elements = 0
 
+    def cut_to(i):
+        standing.subtract(s[0] for s in stack[i:])
+        del stack[i:]
+
     def flush():
         nonlocal pieces
         if pieces:
-            text = SPACE.sub(" ", unescape("".join(p for p, _ in pieces))).strip()
+            # References end where their run of text ends: markup between their letters makes them plain letters.
+            text = SPACE.sub(" ", "".join(unescape(p) for p, _ in pieces)).strip()
             if text:
                 linked = sum(len(p) for p, link in pieces if link)
-                tags = [s[0] for s in stack]
-                out.append(Block(text, linked, max(1, sum(len(p) for p, _ in pieces)), stack[-1][1], stack[-2][2] if len(stack) > 1 and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") else stack[-1][2], any(re.fullmatch("h[1-6]", t) for t in tags[-2:]), "li" in tags[-2:]))
+                tags = [s[0] for s in stack[-2:]]
+                out.append(Block(text, linked, max(1, sum(len(p) for p, _ in pieces)), stack[-1][1], stack[-2][2] if len(stack) > 1 and stack[-1][0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li") else stack[-1][2], any(re.fullmatch("h[1-6]", t) for t in tags), "li" in tags))
             pieces = []
 
     at, end = 0, len(html)
@@ -108,10 +132,8 @@ def blocks_of(html: str) -> list[Block]:
             elif tag in BREAKS:
                 flush()
                 anchors = 0
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
+                if standing[tag]:
+                    cut_to(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
         if tag in SKIPPED:
             if tag in BREAKS or tag == "head":
@@ -120,7 +142,7 @@ def blocks_of(html: str) -> list[Block]:
                 closing = ENDS[tag].search(html, at)
                 if closing is not None:
                     at = closing.end()
-                elif tag != "head":
+                elif tag in ("script", "style"):
                     at = end
             continue
         if tag == "br":
@@ -135,16 +157,23 @@ def blocks_of(html: str) -> list[Block]:
             closes = SELF_CLOSING.get(tag, {"p"})
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in closes:
-                    del stack[i:]
+                    cut_to(i)
                     break
                 if stack[i][0] in SCOPES:
                     break
             elements += 1
             said, header = _own_mark(tag, m[3])
             above = stack[-1][1]
-            if header and above != 1:  # within an article a header holds its title
-                said = -1
-            stack.append((tag, -1 if -1 in (above, said) else said or above, elements))
+            if header and above not in (MAIN, MAIN_HINT):  # within an article a header holds its title
+                said = BOILERPLATE
+            if BOILERPLATE in (above, said):
+                mark = BOILERPLATE
+            elif HINT in (above, said) or MAIN_HINT in (above, said):
+                mark = MAIN_HINT if {above, said} & {MAIN, MAIN_HINT} else HINT
+            else:
+                mark = said or above
+            stack.append((tag, mark, elements))
+            standing[tag] += 1
     flush()
     return out
 
@@ -154,9 +183,13 @@ def score(block: Block) -> float:
     if not block.text.isascii():
         words += sum(1 for _ in IN_TWOS.finditer(block.text)) // 2 + sum(1 for _ in IN_FOURS.finditer(block.text)) // 4
     words = min(MOST_WORDS, words)
-    s = WEIGHTS["base"] + words * WEIGHTS["words"] + WEIGHTS["links"] * min(1.0, block.linked / block.size)
-    if block.mark:
-        s += WEIGHTS["main"] if block.mark > 0 else WEIGHTS["boilerplate"]
+    s = WEIGHTS["base"] + words * WEIGHTS["words"] + WEIGHTS["links in main" if block.mark > 0 else "links"] * min(1.0, block.linked / block.size)
+    if block.mark == BOILERPLATE:
+        s += WEIGHTS["boilerplate"]
+    if block.mark in (HINT, MAIN_HINT):
+        s += WEIGHTS["hint"]
+    if block.mark in (MAIN, MAIN_HINT):
+        s += WEIGHTS["main"]
     if block.heading:
         s += WEIGHTS["heading"]
     if block.text[-1] in ".!?\"'…。！？":
@@ -170,7 +203,7 @@ def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     edges = []
     for i in range(1, len(blocks)):
         same = blocks[i].parent == blocks[i - 1].parent
-        edges.append((i - 1, i, SAME if same else OTHER))
+        edges.append((i - 1, i, HEADED if blocks[i - 1].heading else SAME if same else OTHER))
         edges += [(i - d, i, w) for d, w in NEAR.items() if i >= d and blocks[i].parent == blocks[i - d].parent]
     return edges
 
@@ -242,14 +275,15 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with text and n_chars in place of the html; one row per input row.
 
     Null or empty html, or html without content, gives an empty text. Repeated rows give equal texts. Other
-    columns pass through; those named text or n_chars are replaced.
+    columns pass through; those named text or n_chars are replaced. Pages of any length and nesting are read
+    whole; of equally good cuts the one with least content is taken. An empty table gives an empty one.
     """
     pages = pages.select(*[c for c in pages.columns if c not in ("text", "n_chars", html_col)], F.col(html_col).cast("string").alias("__html"))
     schema = T.StructType([*pages.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     names = schema.names
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [main_text(h or "") for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 

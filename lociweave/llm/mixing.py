@@ -78,11 +78,13 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     ``budget_tokens`` the budget is the least at which every source is read at least once, so no document
     goes. With one, no source exceeds its weight times the budget. A null source is a source of its own;
     texts without words weigh nothing and go with their block; equal ids go together; rows that repeat count
-    as often as they stand. A table without any word comes back once.
+    as often as they stand. A table without any word comes back once. Any other columns, of any names, pass
+    through; where one is named like a new column, the new one is ``mix_`` and its name.
     """
     names = ("epoch", "block", "block_key", "doc_key", "exponent", "weight")
-    clash = [c for c in docs.columns if c in names]
-    held = docs.withColumnsRenamed({c: f"__{c}" for c in clash})
+    own = {c: f"__own{i}" for i, c in enumerate(docs.columns)}
+    held = docs.toDF(*own.values())
+    id_col, source_col, text_col = own[id_col], own[source_col], own[text_col]
     source, doc = F.col(source_col), F.coalesce(F.col(id_col).cast("string"), F.lit("\0"))
     block = F.pmod(F.xxhash64(F.lit(seed), doc), F.lit(BLOCKS)).cast("int")
     small = store(held.select(source.alias("source"), doc.alias("doc"), block.alias("block"), token_count(F.col(text_col)).alias("tokens")), "mix-docs")
@@ -119,8 +121,8 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     rows = joined.withColumn("epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("long"), times))))
     block_key, doc_key = _keys(seed, F.col("epoch"), source, F.col("block"), F.col("__doc"))
     rows = rows.withColumns({"block_key": block_key, "doc_key": doc_key, "exponent": F.lit(float(exponent))})
-    kept = [F.col(f"__{c}" if c in clash else c).alias(c) for c in docs.columns]
-    return rows.select(*kept, *(F.col(n).alias(f"mix_{n}" if n in clash else n) for n in names))
+    kept = [F.col(inner).alias(c) for c, inner in own.items()]
+    return rows.select(*kept, *(F.col(n).alias(f"mix_{n}" if n in own else n) for n in names))
 
 
 def op8_mixing(spark, sf_dir):

@@ -138,6 +138,23 @@ def test_html_plain_blocks_in_scripts_without_spaces(text):
     assert html_text.main_text(page) == "\n\n".join([text] * 3)
 
 
+def test_the_cut_overrules_weak_scores():
+    """A short block among long ones is kept, a heading without content goes, a hint in a class name is no veto."""
+    long = "One two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen more words."
+    page = f'<h2>Menu</h2><ul><li><a href=a>Home page</a></li><li><a href=b>News</a></li></ul><div><h1>Big title</h1><p>{long}</p><p>Yes</p><p>{long}</p></div><h2>More to read</h2><ul><li><a href=c>Another story</a></li></ul>'
+    blocks = html_text.blocks_of(page)
+    scores = [html_text.score(b) for b in blocks]
+    keep = html_text.minimum_cut(scores, html_text.smoothness(blocks))
+    assert [b.text for b, k, s in zip(blocks, keep, scores, strict=True) if k != (s > 0)] == ["Menu", "Yes", "More to read"]
+    assert html_text.main_text(page) == "\n\n".join(["Big title", long, "Yes", long])
+    assert html_text.main_text(f'<div class="post-header"><h1>title</h1></div><div class="legal-news"><p>{long} {long}</p></div>') == f"title\n\n{long} {long}"
+    assert html_text.main_text(f'<div class="site-footer">{long}</div><p>{long}</p><div class="comment-body"><p>{long}</p></div><div class="cookie-bar">{long}</div>') == long
+    assert html_text.main_text(f"<article><p>{long}</p><ul><li><a href=x>linked item</a></li></ul></article>") == f"{long}\n\nlinked item"
+    assert html_text.main_text("<article><p>area <math><mi>x</mi></math> and <object>fallback</object> end.</p></article>") == "area x and fallback end."
+    assert html_text.main_text("<article><p>a &<b>lt;</b> b</p></article>") == "a &lt; b"
+    assert html_text.main_text(f"<article><p>A <object> one</p><iframe><p>{long}</p>") == f"A one\n\n{long}"
+
+
 # --- 4: near duplicates ---
 
 
@@ -366,6 +383,32 @@ def test_mixing_meets_the_limit_and_drops_nothing(spark):
     assert rows(out) == rows(mixing.mix(df, max_repeats=1.5))
 
 
+def test_mixing_passes_any_columns(spark):
+    names = ["epochs", "p_source", "stop_block", "stop_block_key", "stop_doc_key", "weight", "__doc", "rest", "doc"]
+    _, df = mixed_docs(spark)
+    got = mixing.mix(df.withColumns({n: F.lit(n) for n in names}))
+    assert got.columns[-6:] == ["epoch", "mix_block", "block_key", "doc_key", "exponent", "mix_weight"]
+    assert all(r[n] == n for r in got.collect() for n in names)
+    assert got.count() == mixing.mix(df).count()
+
+
+def test_mixing_plan_by_plain_permutation(spark):
+    """Whole epochs, then blocks in the order of their keys, then documents of the block in which the budget ends."""
+    data, df = mixed_docs(spark, 3)
+    got = mixing.mix(df, max_repeats=3.0)
+    whole = {r.source: r.n for r in got.groupBy("source").agg(F.max("epoch").alias("n")).collect()}
+    for source, last in whole.items():
+        rows_of = [r for r in got.collect() if r.source == source]
+        everything = [d for d in data if d[2] == source]
+        for epoch in range(1, last):
+            assert sum(r.epoch == epoch for r in rows_of) == len(everything)
+        part = [(r.block_key, r.mix_block, r.doc_key) for r in rows_of if r.epoch == last]
+        block, doc = F.pmod(F.xxhash64(F.lit(17), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))), F.lit(mixing.BLOCKS)).cast("int"), F.coalesce(F.col("doc_id").cast("string"), F.lit("\0"))
+        keys = mixing._keys(17, F.lit(last).cast("long"), F.col("source"), block, doc)
+        every = sorted(map(tuple, df.filter(F.col("source").eqNullSafe(F.lit(source))).select(keys[0].alias("a"), block.alias("b"), keys[1].alias("c")).collect()))
+        assert sorted(part) == every[: len(part)]
+
+
 def test_mixing_budget_entropy_and_empty(spark):
     _, df = mixed_docs(spark)
     out = mixing.mix(df, max_repeats=None, budget_tokens=1000)
@@ -415,6 +458,13 @@ def test_urls_many_rules_agree_with_few(spark, monkeypatch):
 # --- 10: exact copies ---
 
 
+def test_exact_dedup_of_rows_with_maps_and_clashing_names(spark):
+    data = [(1, "a", {"k": 2}, 5, 1), (1, "a", {"k": 1}, 5, 2), (1, "a", {"k": 1}, 4, 3), (2, "b", None, 1, 1)]
+    df = spark.createDataFrame(data, "doc_id long, text string, tags map<string,int>, __id int, `id` int")
+    got = exact_dedup.exact_dedup(df)
+    assert got.columns == df.columns and rows(got) == sorted([(1, "a", {"k": 1}, 4, 3), (2, "b", None, 1, 1)], key=repr)
+
+
 @pytest.mark.parametrize("block", [3, 4096])
 def test_exact_groups_by_brute_force(spark, block):
     rng = random.Random(8)
