@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lociweave.functions import coordinates, nested, sequence
-from lociweave.operators import aggregates, greedy, intervals, ordering, placement, prefix
+from lociweave.operators import aggregates, greedy, intervals, inventory, ordering, placement, prefix, validation
 from lociweave.runtime import table
+from lociweave.sources import alignments
 from lociweave.sources.sinks import agp_lines
 
 QUERIES, ORACLES = {}, {}
@@ -164,22 +165,23 @@ def q13_n50_stats(spark, sf_dir):
     return aggregates.assembly_statistics(table(spark, sf_dir, "documents").select("lang", "n_chars"), ["lang"], "n_chars")
 
 
-@query("""SELECT coalesce(event_type, 'total') AS event_type, count(*) AS n, count(*) FILTER (value > 10) AS large,
-(count(*) FILTER (value > 10) * 100) // count(*) AS percent FROM events GROUP BY ROLLUP (event_type)""")
+@query("""SELECT coalesce(event_type, 'total') AS event_type, coalesce(plate, -1)::BIGINT AS plate, count(*) AS n, count(*) FILTER (value > 10) AS large,
+(count(*) FILTER (value > 10) * 100) // count(*) AS percent FROM (SELECT *, user_id % 10 AS plate FROM events) GROUP BY ROLLUP (event_type, plate)""")
 def q14_progress_rollup(spark, sf_dir):
-    large = F.sum((F.col("value") > 10).cast("long"))
-    return table(spark, sf_dir, "events").rollup("event_type").agg(F.count("*").alias("n"), large.alias("large")).select(F.coalesce("event_type", F.lit("total")).alias("event_type"), "n", "large", F.expr("large * 100 div n").alias("percent"))
+    rows = table(spark, sf_dir, "events").select("event_type", (F.col("user_id") % 10).alias("plate"), (F.col("value") > 10).alias("sequenced"))
+    out = inventory.progress(rows, "event_type")
+    return out.select(F.coalesce("event_type", F.lit("total")).alias("event_type"), F.coalesce(F.col("plate").cast("long"), F.lit(-1)).alias("plate"), F.col("clones").alias("n"), F.col("sequenced").alias("large"), "percent")
 
 
 @query("""WITH p AS (SELECT c_nationkey::BIGINT AS a, s_nationkey::BIGINT AS b, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)
-SELECT a, b, n, 'straight' AS direction FROM p UNION ALL SELECT b, a, n, 'swapped' FROM p""")
+SELECT a AS query_nation, b AS ref_nation, n FROM p UNION ALL SELECT b, a, n FROM p""")
 def q15_pairwise_both_dirs(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").groupBy("l_orderkey", "l_suppkey").count()
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("a"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("b"))
     pairs = items.join(suppliers, "l_suppkey").join(orders.join(customers, "c_custkey"), "l_orderkey").groupBy("a", "b").agg(F.sum("count").alias("n"))
-    return pairs.withColumn("direction", F.lit("straight")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n", F.lit("swapped").alias("direction")))
+    return alignments.both_directions(pairs.select(F.col("a").alias("query_nation"), F.col("b").alias("ref_nation"), "n"))
 
 
 @query("""SELECT doc_id, 'left_only' AS side FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents) UNION ALL
@@ -195,8 +197,8 @@ def q17_dup_disambiguate(spark, sf_dir):
 
 @query("""SELECT (json_extract(props, '$.k')::INT // 10)::INT AS bucket, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def q18_json_notes(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p"))
-    return rows.groupBy(F.expr("cast(p.k div 10 as int)").alias("bucket"), "event_type").agg(F.count("*").alias("n"))
+    rows = nested.note_entries(table(spark, sf_dir, "events").select("event_type", "props"), "props").filter("key = 'k'")
+    return rows.groupBy(F.expr("cast(cast(value as int) div 10 as int)").alias("bucket"), "event_type").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) - 1 AS position,
@@ -208,9 +210,12 @@ def q19_membership_explode(spark, sf_dir):
 
 
 @query(f"""WITH {SPANS}, l AS (SELECT *, s - lag(e) OVER (PARTITION BY o_custkey ORDER BY s, o_orderkey) - 1 AS d FROM spans)
-SELECT o_custkey, o_orderkey, CASE WHEN d IS NULL THEN 'first' WHEN d < 0 THEN 'overlap' WHEN d = 0 THEN 'adjacent' ELSE 'gap' END AS relation, coalesce(abs(d), 0) AS bp FROM l""")
+SELECT o_custkey, o_orderkey, CASE WHEN d IS NULL THEN 'first' WHEN d < 0 THEN 'overlap' WHEN d = 0 THEN 'adjacent' ELSE 'gap' END AS relation, coalesce(abs(d), 0) AS bp,
+CASE WHEN d IS NULL THEN 'unknown' WHEN d < 0 THEN 'overlap' WHEN d = 0 THEN 'adjacent' ELSE 'gap' END AS placed FROM l""")
 def q20_adjacent_classify(spark, sf_dir):
-    return ordering.neighbour_classes(order_spans(spark, sf_dir), ["o_custkey"], ["start", "o_orderkey"]).select("o_custkey", "o_orderkey", "relation", "bp")
+    spans = order_spans(spark, sf_dir)
+    relation, _ = coordinates.placement(F.lag("end").over(Window.partitionBy("o_custkey").orderBy("start", "o_orderkey")), F.col("start"))
+    return ordering.neighbour_classes(spans.withColumn("placed", relation), ["o_custkey"], ["start", "o_orderkey"]).select("o_custkey", "o_orderkey", "relation", "bp", "placed")
 
 
 ITEM_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
@@ -313,12 +318,13 @@ def q30_longest_prefix(spark, sf_dir):
     return prefix.longest_prefix(parts, "p_name", prefixes).select("p_partkey", "prefix")
 
 
-@query("""SELECT conv_id, count(*) AS pieces, sum(length(coalesce(text, '')))::BIGINT AS length, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn, role, text)) AS sha256 FROM conversations GROUP BY 1""")
+@query("""SELECT conv_id, count(*) AS pieces, sum(length(coalesce(text, '')))::BIGINT AS length, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn, role, text)) AS sha256,
+'piece-' || substr(sha256('{"conv":' || conv_id || ',"pieces":' || count(*) || '}'), 1, 24) AS stable_id FROM conversations GROUP BY 1""")
 def q31_hash_verify(spark, sf_dir):
     """Texts reconstructed from ordered pieces, verified by length and digest."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     parts = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("p")).select("conv_id", F.size("p").cast("long").alias("pieces"), F.array_join(F.transform("p", lambda x: x["text"]), "").alias("t"))
-    return parts.select("conv_id", "pieces", F.length("t").cast("long").alias("length"), F.sha2("t", 256).alias("sha256"))
+    return parts.select("conv_id", "pieces", F.length("t").cast("long").alias("length"), F.sha2("t", 256).alias("sha256"), sequence.stable_id("piece", F.to_json(F.struct(F.col("conv_id").alias("conv"), "pieces")), 24).alias("stable_id"))
 
 
 @query("""WITH d AS (SELECT doc_id, upper(replace(text, 'ß', 's')) AS t FROM documents)
@@ -331,26 +337,23 @@ def q32_revcomp_nsplit(spark, sf_dir):
     return rows.select("doc_id", F.sha2(sequence.reverse_complement(upper), 256).alias("reversed"), n_count.cast("long").alias("n_count"), F.size(F.regexp_extract_all(upper, F.lit("([AEIOU]{2,})"))).cast("long").alias("n_runs"), F.size(F.filter(F.split(upper, "[AEIOU]{2,}"), lambda x: x != "")).cast("long").alias("n_segments"))
 
 
-@query("""SELECT 'BROKEN_REFERENCE' AS code, 'lineitem.l_orderkey' AS field, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL
-SELECT 'BROKEN_REFERENCE', 'documents.doc_id', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL
-SELECT 'DUPLICATE_KEY', 'lineitem', count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL
-SELECT 'INVALID_VALUE', 'lineitem.l_returnflag', count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'R') UNION ALL
-SELECT 'INVALID_COORDINATE', 'lineitem.l_quantity', count(*) FROM lineitem WHERE l_quantity > 48""")
+@query("""SELECT 'BROKEN_REFERENCE' AS code, 'lineitem.tsv' AS relpath, key::VARCHAR AS key, 'not in o_orderkey' AS message FROM (SELECT DISTINCT l_orderkey AS key FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)) UNION ALL
+SELECT 'BROKEN_REFERENCE', 'documents.tsv', key::VARCHAR, 'not in doc_id' FROM (SELECT DISTINCT doc_id AS key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) UNION ALL
+SELECT 'INVALID_VALUE', 'lineitem.tsv', l_orderkey || '/' || l_linenumber, 'repeated' FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1 UNION ALL
+SELECT 'INVALID_COORDINATE', 'lineitem.tsv', l_orderkey || '/' || l_linenumber || '/' || l_partkey, 'start..end' FROM lineitem WHERE l_linenumber * 10 + l_quantity::BIGINT > 100 UNION ALL
+SELECT 'INVALID_VALUE', 'lineitem.tsv', l_orderkey::VARCHAR, 'l_linenumber is not 1 to n' FROM lineitem GROUP BY l_orderkey HAVING min(l_linenumber) <> 1 OR max(l_linenumber) <> count(*) OR count(DISTINCT l_linenumber) <> count(*)""")
 def q33_validation(spark, sf_dir):
+    """Violations of a package whose tables are the driver's: references, keys, coordinates, orders."""
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
-    count = lambda df, code, field: df.agg(F.count("*").alias("n")).select(F.lit(code).alias("code"), F.lit(field).alias("field"), "n")
-    checks = [
-        count(items.select("l_orderkey").join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_anti"), "BROKEN_REFERENCE", "lineitem.l_orderkey"),
-        count(docs.join(labels, "doc_id", "left_anti"), "BROKEN_REFERENCE", "documents.doc_id"),
-        count(aggregates.duplicates(items, ["l_orderkey", "l_linenumber"]), "DUPLICATE_KEY", "lineitem"),
-        count(items.filter("l_returnflag not in ('A', 'R')"), "INVALID_VALUE", "lineitem.l_returnflag"),
-        count(items.filter("l_quantity > 48"), "INVALID_COORDINATE", "lineitem.l_quantity"),
-    ]
-    out = checks[0]
-    for more in checks[1:]:
-        out = out.unionByName(more)
-    return out
+    spans = items.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_linenumber").cast("long") * 10).alias("start"), (F.col("l_linenumber").cast("long") * 10 + F.col("l_quantity").cast("long")).alias("end"), F.lit(100).alias("length"))
+    return validation.all_of(
+        validation.references(items, orders, ["l_orderkey"], ["o_orderkey"], "lineitem.tsv"),
+        validation.references(docs, labels, ["doc_id"], ["doc_id"], "documents.tsv"),
+        validation.unique(items, ["l_orderkey", "l_linenumber"], "lineitem.tsv"),
+        validation.coordinates(spans, "start", "end", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey"), "lineitem.tsv", "length"),
+        validation.contiguous(items, ["l_orderkey"], "l_linenumber", "lineitem.tsv"),
+    )
 
 
 @query("""WITH h AS (SELECT c_custkey, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice >= 200000) AS here, count(*) FILTER (o_orderstatus = 'O') AS elsewhere, count(*) FILTER (o_orderstatus = 'F' AND o_totalprice < 200000) AS weak
@@ -405,9 +408,8 @@ SELECT t.user_id, t.event_id AS view_id, b.event_id AS click_id FROM t JOIN b US
 def q39_fifo_pairs(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type")
     side = lambda kind, name: events.filter(F.col("event_type") == kind).select("user_id", "ts", F.col("event_id").alias(name))
-    a = ordering.numbered(side("view", "view_id"), ["user_id"], ["ts", "view_id"], "rn").drop("ts")
-    b = ordering.numbered(side("click", "click_id"), ["user_id"], ["ts", "click_id"], "rn").drop("ts")
-    return a.join(b, ["user_id", "rn"]).drop("rn")
+    each = lambda kind, name: side(kind, name).withColumn("id", F.col(name))
+    return ordering.fifo_pairs(each("view", "view_id"), each("click", "click_id"), ["user_id"], ["ts", "id"]).select("user_id", "view_id", "click_id")
 
 
 @query("""WITH v AS (SELECT c_nationkey, o_orderpriority, count(*) AS weight FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
@@ -438,5 +440,5 @@ def q42_overlap_clusters(spark, sf_dir):
 
 @query("""SELECT o_custkey, o_orderkey, list_sort(list_filter(list_distinct(list(o_orderpriority) OVER (PARTITION BY o_custkey)), lambda x: x <> o_orderpriority)) AS others FROM orders""")
 def q43_co_assigned(spark, sf_dir):
-    every = F.array_sort(F.collect_set("o_orderpriority").over(Window.partitionBy("o_custkey")))
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.array_except(every, F.array("o_orderpriority")).alias("others"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderpriority").alias("target"), "o_orderkey")
+    return placement.contig_classes(rows).select(F.col("query").alias("o_custkey"), "o_orderkey", F.col("also_on").alias("others"))
