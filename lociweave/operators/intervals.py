@@ -77,23 +77,24 @@ def lonely(df: DataFrame, keys: list[str], start: str = "start", end: str = "end
     return df.withColumn("__clear", clear).filter("__clear").drop("__clear")
 
 
-def covers(container: DataFrame, subject: DataFrame, keys: list[str]) -> DataFrame:
+def covers(container: DataFrame, subject: DataFrame, keys: list[str], bin_size: int = 1000) -> DataFrame:
     """(keys, covers): whether the merged container holds every subject interval; false without subjects.
 
-    ``container`` is (keys, start, end) of islands. A subject must lie in one island as a whole.
+    ``container`` is (keys, start, end) of islands. A subject must lie in one island as a whole: the one that its start lies in.
     """
-    a = subject.select(*keys, F.col("start").alias("l_start"), F.col("end").alias("l_end"))
-    held = a.join(container.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end")), keys).filter("r_start <= l_start and l_end <= r_end").select(*a.columns).distinct()
-    open_ = a.distinct().join(held, a.columns, "left_anti").select(*keys, F.lit(True).alias("open"))
+    a = subject.select(*keys, F.col("start").alias("__s"), F.col("end").alias("__e")).distinct()
+    held = stab(a, container.select(*keys, F.col("start").alias("r_start"), F.col("end").alias("r_end")), keys, "__s", bin_size).filter("__e <= r_end").select(*a.columns).distinct()
+    open_ = a.join(held, a.columns, "left_anti").select(*keys, F.lit(True).alias("open"))
     every = container.select(*keys).distinct()
     have = a.select(*keys, F.lit(True).alias("some")).distinct()
     return every.join(have, keys, "left").join(open_.distinct(), keys, "left").select(*keys, (F.col("some").isNotNull() & F.col("open").isNull()).alias("covers"))
 
 
-def contained_once(inner: DataFrame, outer: DataFrame, keys: list[str], inner_id: str) -> DataFrame:
-    """Rows of ``inner`` with the only interval of ``outer`` that holds them; none if several or none do."""
+def contained_once(inner: DataFrame, outer: DataFrame, keys: list[str], inner_id: str, bin_size: int = 1000) -> DataFrame:
+    """Rows of ``inner`` (l_start, l_end) with the only interval of ``outer`` (r_start, r_end) that holds them; none if several or none do."""
     n = F.count("*").over(Window.partitionBy(inner_id))
-    held = inner.join(outer, keys).filter("r_start <= l_start and l_end <= r_end")
+    point = inner.withColumn("__p", F.col("l_start"))
+    held = stab(point.withColumnsRenamed({"l_start": "__ls", "l_end": "__le"}), outer, keys, "__p", bin_size).filter("__le <= r_end").drop("__p").withColumnsRenamed({"__ls": "l_start", "__le": "l_end"})
     return held.withColumn("__n", n).filter("__n = 1").drop("__n")
 
 

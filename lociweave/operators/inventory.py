@@ -34,10 +34,11 @@ def either_name(wanted: DataFrame, clones: DataFrame) -> DataFrame:
 
 
 def setting(users: DataFrame, values: DataFrame, defaults: DataFrame, field: str) -> DataFrame:
-    """(user, value): the user's own or the default."""
-    own = values.filter(F.col("field") == field).select("user", F.col("value").alias("own"))
-    default = defaults.filter(F.col("field") == field).select(F.col("value").alias("general"))
-    return users.select("user").join(own, "user", "left").join(F.broadcast(default.limit(1)), how="left").select("user", F.coalesce("own", "general").alias("value"))
+    """(user, value): the user's own or the default; of several the smallest, so the result does not depend on the order of rows."""
+    own = values.filter(F.col("field") == field).groupBy("user").agg(F.min("value").alias("own"))
+    default = defaults.filter(F.col("field") == field).groupBy("field").agg(F.min("value").alias("general"))
+    asked = users.select("user", F.lit(field).alias("field")).join(own, "user", "left")
+    return asked.join(F.broadcast(default), "field", "left").select("user", F.coalesce("own", "general").alias("value"))  # one row
 
 
 # --- Contig edits -------------------------------------------------------------------------------------
@@ -66,6 +67,32 @@ def turned(members: DataFrame, contigs: DataFrame, which: Column) -> tuple[DataF
     return m, contigs.withColumn("end_type", F.when(which, ends).otherwise(F.col("end_type")))
 
 
+def reordered(contigs: DataFrame, order: str) -> DataFrame:
+    """Contigs (contig, chr, order) with the orders of a list ``a,b,c``; contigs that it does not name follow in their old order."""
+    asked = [n for n in order.split(",") if n]
+    listed = F.create_map(*[F.lit(x) for i, n in enumerate(dict.fromkeys(asked), 1) for x in (n, i)])[F.col("contig")] if asked else F.lit(None).cast("int")
+    rows = contigs.withColumn("__listed", listed)
+    place = F.row_number().over(Window.partitionBy("chr").orderBy(F.col("__listed").asc_nulls_last(), "order", "contig"))
+    return rows.withColumn("order", place).drop("__listed")
+
+
+def full_length(members: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (contig, position, seq, start, end) with their whole sequences (seq, length) again, and the contigs' lengths."""
+    m = members.drop("start", "end").join(sequences, "seq").select("contig", "position", "seq", F.lit(1).cast("long").alias("start"), F.col("length").cast("long").alias("end"))
+    return m, m.groupBy("contig").agg(F.sum("end").alias("length"))
+
+
+def toggled(members: DataFrame, which: Column, column: str, off: str = "-", on: str = "+") -> DataFrame:
+    """Turn or hide single members: the sign in ``column`` changes for those that ``which`` picks."""
+    return members.withColumn(column, F.when(which, F.when(F.col(column) == off, on).otherwise(off)).otherwise(F.col(column)))
+
+
+def hidden_hit(hits: DataFrame, query: str, ref: str, line: int, hide: bool = True) -> DataFrame:
+    """Hide or show the hit with that ordinal between two sequences, in whichever direction it is stored."""
+    here = ((F.col("query_name") == query) & (F.col("ref_name") == ref)) | ((F.col("query_name") == ref) & (F.col("ref_name") == query))
+    return hits.withColumn("hidden", F.when(here & (F.col("line_no") == line), hide).otherwise(F.col("hidden")))
+
+
 def rekeyed(table: DataFrame, ids: DataFrame, columns: list[str], distinct: bool = False) -> DataFrame:
     """Replace ids by the map (old, new) in all of ``columns``; merges and deep copies are this on each relation."""
     for c in columns:

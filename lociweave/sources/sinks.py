@@ -52,3 +52,16 @@ def square_matrix(distances: DataFrame, taxa: list[str]) -> DataFrame:
     both = distances.select("a", "b", "distance").unionByName(distances.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     cells: list[Column] = [F.coalesce(F.max(F.when(F.col("b") == t, F.col("distance"))), F.lit(0.0)) for t in taxa]
     return both.groupBy("a").agg(F.concat_ws(" ", F.rpad(F.col("a"), 10, " "), *[F.substring(F.format_string("%.5f", c), 1, 7) for c in cells]).alias("line")).select(F.col("a").alias("taxon"), "line")
+
+
+def path_lines(segments: DataFrame) -> DataFrame:
+    """Final-path segments (chr, n, kind, contig, start, end, orientation) as lines of its table: (chr, n, line); gaps have no contig."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return segments.select("chr", "n", F.concat_ws("\t", *[cell(c) for c in ("chr", "n", "kind", "contig", "start", "end", "orientation")]).alias("line"))
+
+
+def log_lines(log: DataFrame) -> DataFrame:
+    """Usage by chromosome (:func:`lociweave.operators.reports.usage_log`) as lines (chr, part, line): counts, then bases, used of assigned."""
+    part = lambda n, name, used, total: F.struct(F.lit(n).alias("part"), F.concat_ws("\t", F.col("chr").cast("string"), F.lit(name), F.concat(F.col(used).cast("string"), F.lit("/"), F.col(total).cast("string"))).alias("line"))
+    parts = F.array(part(1, "count", "used", "assigned"), part(2, "length", "used_bp", "assigned_bp"))
+    return log.select("chr", F.explode(parts).alias("x")).select("chr", "x.part", "x.line")

@@ -51,9 +51,16 @@ def lenient_flag(cell):
     return F.coalesce(F.trim(cell), F.lit("")) .isin("", "1", "true", "yes")
 
 
+#: Settings are few; a table of more rows than this is no table of settings.
+MOST_SETTINGS = 100_000
+
+
 def key_values(spark: SparkSession, path: str) -> dict[str, str]:
-    """A small two-column table; settings only."""
-    return {r[0]: r[1] for r in spark.read.csv(path, sep="\t", schema="key string, value string").limit(10_000).collect()}
+    """A two-column table of settings, whole; more than ``MOST_SETTINGS`` rows raise."""
+    rows = spark.read.csv(path, sep="\t", schema="key string, value string").limit(MOST_SETTINGS + 1).collect()
+    if len(rows) > MOST_SETTINGS:
+        raise ValueError(f"{path} has over {MOST_SETTINGS} rows")
+    return {r[0]: r[1] for r in rows}
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -88,3 +88,19 @@ def test_stream_equals_batch(spark, tmp_path, sf_dir):
     q = incremental.activity(stream).writeStream.outputMode("complete").format("memory").queryName("activity").trigger(availableNow=True).start()
     q.awaitTermination()
     assert rows(spark.table("activity")) == rows(batch)
+
+
+def test_orders_ranges_signs_and_hidden_hits(spark):
+    contigs = spark.createDataFrame([("a", "1", 1), ("b", "1", 2), ("c", "1", 3), ("d", "2", 1)], "contig string, chr string, order int")
+    assert sorted((r.contig, r.order) for r in inventory.reordered(contigs, "c,x,a").collect()) == [("a", 2), ("b", 3), ("c", 1), ("d", 1)]
+    members = spark.createDataFrame([("a", 0, "s", 5, 9, "+"), ("a", 1, "t", 2, 3, "-")], "contig string, position int, seq string, start long, end long, strand string")
+    lengths = spark.createDataFrame([("s", 20), ("t", 7)], "seq string, length long")
+    m, total = inventory.full_length(members, lengths)
+    assert sorted((r.seq, r.start, r.end) for r in m.collect()) == [("s", 1, 20), ("t", 1, 7)] and total.first()["length"] == 27
+    assert sorted(r.strand for r in inventory.toggled(members, F.col("seq") == "s", "strand").collect()) == ["-", "-"]
+    hits = spark.createDataFrame([("s", "t", 1, False), ("t", "s", 2, False), ("t", "s", 1, False), ("u", "s", 1, False)], "query_name string, ref_name string, line_no int, hidden boolean")
+    assert sorted((r.query_name, r.line_no) for r in inventory.hidden_hit(hits, "s", "t", 1).filter("hidden").collect()) == [("s", 1), ("t", 1)]
+    users = spark.createDataFrame([("x",), ("y",)], "user string")
+    values, defaults = spark.createDataFrame([("x", "f", "1")], "user string, field string, value string"), spark.createDataFrame([("f", "9"), ("f", "8"), ("g", "0")], "field string, value string")
+    assert sorted((r.user, r.value) for r in inventory.setting(users, values, defaults, "f").collect()) == [("x", "1"), ("y", "8")]
+    assert [r.value for r in inventory.setting(users, values.limit(0), defaults.limit(0), "f").collect()] == [None, None]

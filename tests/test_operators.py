@@ -140,6 +140,17 @@ def test_an_edit_over_an_interval_blocks_its_projection(spark):
     assert got == {"x": (1, 9, False), "y": (15, 25, False), "z": (None, None, True), "w": (65, 66, False), "v": (5, 6, False)}
 
 
+def test_contained_once_by_nested_loop(spark):
+    inner = [(i, i % 3, s, s + n) for i, (s, n) in enumerate([(1, 4), (10, 5), (20, 9), (2400, 30), (5, 2), (30, 1)])]
+    outer = [(0, 1, 20), (0, 1, 8), (1, 1, 4000), (2, 15, 40), (1, 9, 13)]
+    got = intervals.contained_once(spark.createDataFrame(inner, "i int, k int, l_start long, l_end long"), spark.createDataFrame(outer, "k int, r_start long, r_end long"), ["k"], "i", 10)
+    want = []
+    for i, k, s, e in inner:
+        held = [(a, b) for j, a, b in outer if j == k and a <= s and e <= b]
+        want += [(i, s, e, *held[0])] if len(held) == 1 else []
+    assert rows(got.select("i", "l_start", "l_end", "r_start", "r_end")) == sorted(want)
+
+
 def test_tiling(spark):
     df = spark.createDataFrame([("k", "a", 1, 10), ("k", "b", 5, 12), ("k", "c", 8, 20), ("k", "d", 12, 25), ("k", "e", 40, 50)], "k string, i string, start long, end long")
     assert rows(greedy.tiling_path(df, "k", "i").select("step", "i")) == [(1, "a"), (2, "c"), (3, "d"), (4, "e")]
