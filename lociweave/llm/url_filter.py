@@ -57,12 +57,15 @@ def decide(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def alias_links(pages: DataFrame) -> DataFrame:
-    """(u, v) of urls without fragment: one row per redirect or canonical link in a page's html."""
-    html = F.coalesce("html", F.lit(""))
-    tag = lambda name, mark: F.regexp_extract(html, rf"(?is)<{name}\b[^>]*{mark}[^>]*>", 0)
-    href = F.regexp_extract(tag("link", r"\brel\s*=\s*[\"']?canonical\b"), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(tag("meta", r"\bhttp-equiv\s*=\s*[\"']?refresh\b"), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    found = pages.select("url", F.explode(F.filter(F.array(href, refresh), lambda x: x != "")).alias("to")).filter(F.col("url").isNotNull())
+    """(u, v) of urls without fragment: one row per redirect and per canonical link in a page's html, all of them, but for those in comments."""
+    html = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    tags = lambda name, mark: F.filter(F.regexp_extract_all(html, F.lit(rf"(?is)<{name}\b[^>]*>"), F.lit(0)), lambda t: t.rlike(mark))
+    named = lambda name: lambda t: F.regexp_extract(t, rf"(?is)\b{name}\s*=\s*[\"']?([^\"'\s>]+)", 1)
+    links = F.transform(tags("link", r"(?is)\brel\s*=\s*[\"']?canonical\b"), named("href"))
+    moves = F.transform(tags("meta", r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"), named("url"))
+    plain = lambda x: F.regexp_replace(x, "&(?:amp|#38|#x26);", "&")
+    some = pages.filter(F.col("html").rlike("(?i)canonical|refresh") & F.col("url").isNotNull())
+    found = some.select("url", F.explode(F.transform(F.filter(F.concat(links, moves), lambda x: x != ""), plain)).alias("to"))
     site, here = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract("url", r"(?s)^(.*?://[^?#]*/)", 1)
     target = (
         F.when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("to"))
@@ -74,7 +77,9 @@ def alias_links(pages: DataFrame) -> DataFrame:
 
 
 def page_key(url: Column) -> Column:
-    return F.regexp_replace(url, r"(?s)#.*$", "")
+    """The url without its fragment, its host in lower case."""
+    bare = F.regexp_replace(url, r"(?s)#.*$", "")
+    return F.when(bare.contains("://"), F.concat(F.regexp_extract(bare, r"(?s)^(.*?://)", 1), url_host(bare), F.regexp_extract(bare, r"(?s)^.*?://[^/?#]*(.*)$", 1))).otherwise(bare)
 
 
 def judge(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:
@@ -102,11 +107,13 @@ def op9_url_filter(spark, sf_dir):
 ORACLE = r"""
 WITH RECURSIVE rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'),
   ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+clean AS (SELECT url, regexp_replace(html, '<!--.*?-->', '', 'gs') AS html FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
 links AS (
-  SELECT regexp_replace(url, '#.*$', '', 's') AS u, regexp_replace(x, '#.*$', '', 's') AS v FROM (
-    SELECT url, unnest([regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-      regexp_extract(regexp_extract(coalesce(html, ''), '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS x
-    FROM pages WHERE url IS NOT NULL) WHERE x <> ''),
+  SELECT regexp_replace(url, '#.*$', '', 's') AS u, regexp_replace(regexp_replace(x, '&(?:amp|#38|#x26);', '&', 'g'), '#.*$', '', 's') AS v FROM (
+    SELECT url, unnest(list_concat(
+      list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b')), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)),
+      list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b')), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)))) AS x
+    FROM clean) WHERE x <> ''),
 edges AS (SELECT u, v FROM links UNION SELECT v, u FROM links),
 nodes AS (
   SELECT page_id, regexp_replace(url, '#.*$', '', 's') AS node,

@@ -343,4 +343,6 @@ def op2_warc(spark, sf_dir):
         return records.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
     records = store(records, "warc-records")
     responses = records.filter("record_type = 'response'").select(F.col("record_id").alias("refers"), F.col("page_id").alias("refers_to"))
-    return records.join(responses, "refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    revisits = records.filter("record_type <> 'response'").join(responses, "refers", "left").select(columns)
+    return records.filter("record_type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).select(columns).unionAll(revisits)

@@ -6,6 +6,7 @@ import hashlib
 import io
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -53,6 +54,29 @@ def test_language_held_out_accuracy(spark):
     assert right > 0.98
 
 
+def test_language_query_by_plain_cosines(spark, tmp_path):
+    """Predictions and scores of the query against vectors and sums made one text at a time."""
+    words = {"en": "the cat sat on the mat and then", "de": "der hund und die katze sind nicht", "fr": "le chat est sur la table avec"}
+    rng = random.Random(9)
+    data = [(i, " ".join(rng.choices(words[lang].split(), k=rng.randrange(1, 9))), lang) for i, lang in enumerate(rng.choices(sorted(words), k=90))]
+    data += [(200, None, "en"), (201, "123 ...", "de"), (202, "", None), (203, "die katze", None), (204, "the mat", "en"), (205, "the mat", "en")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    encoder = language_id.Encoder(language_id.DIMENSIONS)
+    vector = lambda t: encoder.bundle(*encoder.trigrams([t or ""]), 1)[0].astype(np.float64)
+    out = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in data}
+    sums = {}
+    for i, t, lang in data:
+        if lang and t is not None and not out[i]:
+            sums[lang] = sums.get(lang, 0) + vector(t)
+    langs = sorted(sums)
+    unit = np.array([sums[k] / np.linalg.norm(sums[k]) for k in langs])
+    for r in language_id.op1_language_id(spark, str(tmp_path)).collect():
+        v = vector(next(t for i, t, _ in data if i == r.doc_id))
+        cosines = unit @ v / max(np.linalg.norm(v), 1e-9)
+        assert r.held_out == out[r.doc_id]
+        assert (r.lang_pred, r.score) == ("und", 0.0) if not v.any() else r.lang_pred == langs[int(cosines.argmax())] and abs(r.score - cosines.max()) < 1e-5
+
+
 # --- 2: archives ---
 
 
@@ -98,6 +122,22 @@ def test_arc_versions_and_faults(version):
             list(warc.read_arc(io.BytesIO(bad)))
 
 
+def test_archive_query_by_plain_grouping(spark, tmp_path):
+    """Of equal payloads the smallest page_id is the response, the others name it."""
+    html = [None, "", "<p>a</p>", "<p>é</p>", "<p>a</p>", "", "<p>b</p>", "<p>a</p>"]
+    data = [(10 - i, f"http://x.org/{i}", h) for i, h in enumerate(html)]
+    spark.createDataFrame(data, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    first = {}
+    for i, _, h in data:
+        first[h or ""] = min(i, first.get(h or "", i))
+    want = []
+    for i, _, h in data:
+        raw = (h or "").encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        want.append((i, len(raw), digest, "response", None) if first[h or ""] == i else (i, len(raw), digest, "revisit", first[h or ""]))
+    assert rows(warc.op2_warc(spark, str(tmp_path))) == sorted(want, key=repr)
+
+
 # --- 3: html ---
 
 
@@ -219,6 +259,14 @@ def test_near_duplicates_empty_and_repeated(spark):
     assert rows(jaccard_join.keep_one(df.filter("doc_id <> 9"))) == [(5, "One two\nthree")]
 
 
+def test_common_tokens_by_intersection():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, int(n)).astype(np.uint64)) for n in (0, 1, 50, 3000, 7000, 9000, 20)]
+    sets.append(sets[2])
+    got = jaccard_join.common_tokens(sets)
+    assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
+
+
 def test_signatures_meet_for_any_classes():
     rng, sim = np.random.default_rng(5), jaccard_join.Similarity()
     for _ in range(300):
@@ -448,6 +496,13 @@ def test_urls_rules_aliases_and_precedence(spark):
     assert not url_filter.judge(pages(spark, [])).count()
 
 
+def test_urls_every_link_counts(spark):
+    first, second = '<link rel="canonical">', link("c", "http://X.net/es/?a=1&amp;b=2")
+    data = [(1, "http://a.org/", first + second), (2, "http://b.org/", "<!-- " + link("c", "http://x.net/es/") + " -->"), (3, "http://c.org/", link("r", "http://k.org/") + link("r", "http://A.org/#top")), (4, "http://x.net/es/?a=1&b=2", "")]
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages(spark, data)).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block"}
+
+
 def test_urls_many_rules_agree_with_few(spark, monkeypatch):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     few = rows(url_filter.judge(df))
