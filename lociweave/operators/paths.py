@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lociweave.functions.coordinates import to_source
 from lociweave.functions.sequence import oriented_slice
+from lociweave.operators.intervals import range_join
 
 
 def laid_out(path: DataFrame) -> DataFrame:
@@ -15,9 +16,10 @@ def laid_out(path: DataFrame) -> DataFrame:
     return path.withColumn("end", F.sum("length").over(run)).withColumn("start", F.col("end") - F.col("length") + 1)
 
 
-def sliced(path: DataFrame, cuts: DataFrame) -> DataFrame:
+def sliced(path: DataFrame, cuts: DataFrame, bin_size: int = 1_000_000) -> DataFrame:
     """The parts of a laid-out path inside intervals (chr, cut_id, cut_start, cut_end), source coordinates kept in either orientation."""
-    met = path.join(cuts, "chr").filter("start <= cut_end and cut_start <= end")
+    met = range_join(path.withColumnsRenamed({"start": "l_start", "end": "l_end"}), cuts.withColumnsRenamed({"cut_start": "r_start", "cut_end": "r_end"}), ["chr"], bin_size)
+    met = met.withColumnsRenamed({"l_start": "start", "l_end": "end", "r_start": "cut_start", "r_end": "cut_end"})
     s, e = F.greatest("start", "cut_start"), F.least("end", "cut_end")
     a, b = to_source(s - F.col("start") + 1, e - F.col("start") + 1, F.col("source_start"), F.col("source_end"), F.col("orientation"))
     return met.select("chr", "cut_id", "idx", "kind", "source", F.when(F.col("kind") == "source", a).alias("source_start"), F.when(F.col("kind") == "source", b).alias("source_end"), "orientation", (e - s + 1).alias("length"))

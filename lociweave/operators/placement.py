@@ -28,6 +28,19 @@ def assign(hits: DataFrame, least_percent: float = 60.0, least_block: int = 1000
     return numbered(rows, ["target"], [F.col("anchor").asc_nulls_last(), F.col("query")], "member_order").drop("query_length")
 
 
+def forced(hits: DataFrame, target: str, least_block: int = 1000, least_block_percent: int = 25) -> DataFrame:
+    """:func:`assign` to one given target, whatever share of the query it covers. A query without a good hit there has no row; callers that need one use :func:`require`."""
+    rows = assign(hits.filter(F.col("target") == target), 0.0, least_block, least_block_percent)
+    return rows.drop("member_order")
+
+
+def require(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` of all ``names`` (query); one that has none raises."""
+    joined = names.select("query").join(rows, "query", "left")
+    missing = F.raise_error(F.concat(F.lit("no qualified hit for "), F.col("query").cast("string")))
+    return joined.withColumn("target", F.when(F.col("target").isNull(), missing).otherwise(F.col("target")))
+
+
 def contig_classes(assignments: DataFrame) -> DataFrame:
     """Targets of each query beside the current one, sorted."""
     every = F.array_sort(F.collect_set("target").over(Window.partitionBy("query")))

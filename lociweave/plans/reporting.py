@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lociweave.operators import reports, selection, starting_path
+from lociweave.operators import fragments, placement, reports, selection, starting_path
 from lociweave.plans.relational import SPANS, order_spans
+from lociweave.plans.repairing import PLACED, placement_hits
 from lociweave.runtime import table
 
 QUERIES, ORACLES = {}, {}
@@ -146,3 +147,52 @@ def q62_contig_roles(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", (k % 4 == 0).alias("is_primary"), (k % 3 != 1).alias("valid"), (k * 3701 % 150000).alias("length"), (k % 5 == 0).alias("telomere"), F.lit(None).cast("string").alias("covered_by"), (k % 16 == 0).alias("assigned"), "s_acctbal")
     rows = rows.withColumn("passed", starting_path.passes_reads_check(F.col("length"), F.col("s_acctbal") / 100))
     return starting_path.roles(rows.withColumn("used", F.expr("assigned and valid and passed"))).select("s_suppkey", "path_reason", "donor_reason", "telomere_reason")
+
+
+@query(f"""WITH {SPANS}, b AS (SELECT c_custkey AS contig, 1::BIGINT AS start FROM customer UNION SELECT o_custkey, s - 7000 FROM spans WHERE s - 7000 BETWEEN 1 AND 3000)
+SELECT contig, start, coalesce(lead(start) OVER (PARTITION BY contig ORDER BY start) - 1, 3000) AS "end" FROM b""")
+def q63_cut_fragments(spark, sf_dir):
+    whole = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("contig"), F.lit(3000).cast("long").alias("length"))
+    return fragments.at_cuts(whole, order_spans(spark, sf_dir).select(F.col("o_custkey").alias("contig"), (F.col("start") - 7000).alias("cut")))
+
+
+TEXTS = """t AS (SELECT doc_id, upper(replace(text, 'ß', 's')) AS t FROM documents)"""
+
+
+def capital_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id"), F.upper(F.replace("text", F.lit("ß"), F.lit("s"))).alias("sequence"))  # its capital is two letters in one engine only
+
+
+@query(f"""WITH {TEXTS}, m AS (SELECT doc_id, 'a' AS rule, 2 AS unit, unnest(regexp_extract_all(t, '(?:AN){{2,}}')) AS x FROM t UNION ALL SELECT doc_id, 'b', 3, unnest(regexp_extract_all(t, '(?:ING){{1,}}')) FROM t)
+SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS bp, max(length(x))::BIGINT AS longest, arg_min(rule, (-length(x), -(length(x) // unit), rule)) AS rule FROM m GROUP BY 1""")
+def q64_tandem_rules(spark, sf_dir):
+    found = fragments.tandem_table(capital_texts(spark, sf_dir).withColumnRenamed("doc_id", "name"), [("a", "AN", 2), ("b", "ING", 1)])
+    first = F.max(F.when(F.col("rank") == 1, F.col("rule")))
+    return found.groupBy(F.col("name").alias("doc_id")).agg(F.count("*").alias("n"), F.sum("length").cast("long").alias("bp"), F.max("length").cast("long").alias("longest"), first.alias("rule"))
+
+
+@query(f"""WITH {TEXTS}, p AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[AEIOU]{{2,}}'), lambda x: x <> '') AS x FROM t)
+SELECT doc_id, sha256(x[i]) AS sha256, length(x[i])::BIGINT AS length, i = 1 AND NOT regexp_matches(t, '^[AEIOU]{{2,}}') AS left_boundary, i = len(x) AND NOT regexp_matches(t, '[AEIOU]{{2,}}$') AS right_boundary FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM p)""")
+def q65_donor_fragments(spark, sf_dir):
+    out = fragments.donor_fragments(capital_texts(spark, sf_dir).withColumnRenamed("doc_id", "member"), "d0", "[AEIOU]", 2)
+    return out.select(F.col("member").alias("doc_id"), "sha256", (F.col("end") - F.col("start") + 1).alias("length"), "left_boundary", "right_boundary")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS o, l_linenumber, l_partkey::BIGINT AS contig, l_suppkey::BIGINT * 10 AS s, l_suppkey::BIGINT * 10 + l_quantity::BIGINT AS e, CASE WHEN l_returnflag = 'R' THEN '-' ELSE '+' END AS strand, l_linenumber::BIGINT * 1000 AS place FROM lineitem),
+m AS (SELECT DISTINCT l_partkey::BIGINT AS contig, 'mark' AS kind, l_suppkey::BIGINT * 10 + 5 AS s, l_suppkey::BIGINT * 10 + 25 AS e FROM lineitem)
+SELECT p.o AS chr, p.contig, kind, place + CASE WHEN strand = '-' THEN p.e - least(m.e, p.e) ELSE greatest(m.s, p.s) - p.s END AS start, place + CASE WHEN strand = '-' THEN p.e - greatest(m.s, p.s) ELSE least(m.e, p.e) - p.s END AS "end" FROM p JOIN m ON m.contig = p.contig AND m.s <= p.e AND m.e >= p.s""")
+def q66_placed_marks(spark, sf_dir):
+    """Parts as contigs, their line items as the pieces that orders show."""
+    k, s = F.col("l_partkey").cast("long").alias("contig"), F.col("l_suppkey").cast("long") * 10
+    items = table(spark, sf_dir, "lineitem")
+    layout = items.select(k, s.alias("piece_start"), (s + F.col("l_quantity").cast("long")).alias("piece_end"), F.when(F.col("l_returnflag") == "R", "-").otherwise("+").alias("orientation"), F.col("l_orderkey").alias("chr"), (F.col("l_linenumber").cast("long") * 1000).alias("position"))
+    marks = items.select(k, F.lit("mark").alias("kind"), (s + 5).alias("start"), (s + 25).alias("end")).distinct()
+    return fragments.placed_marks(marks, layout, 50)
+
+
+@query(f"""WITH {PLACED}, w2 AS (SELECT q, sum(x)::BIGINT AS bp FROM (SELECT q, max(qe) - min(qs) + 1 AS x FROM r2 WHERE t = 'chr2' GROUP BY q, n) GROUP BY 1),
+o AS (SELECT q, CASE WHEN sum(CASE WHEN strand = '-' THEN block ELSE 0 END) > sum(CASE WHEN strand = '+' THEN block ELSE 0 END) THEN '-' ELSE '+' END AS orientation FROM k WHERE t = 'chr2' GROUP BY 1)
+SELECT w2.q AS query, 'chr2' AS target, bp AS support_bp, bp * 100.0::DOUBLE / 120 AS support_percent, orientation, anchor FROM w2 JOIN o USING (q) JOIN anchors ON anchors.q = w2.q AND anchors.t = 'chr2'""")
+def q67_forced_assignment(spark, sf_dir):
+    """Every customer with a good hit on one given chromosome, whatever it covers."""
+    return placement.forced(placement_hits(spark, sf_dir), "chr2", 20, 25)

@@ -18,11 +18,14 @@ _local_root: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """URI of the shared folder; creates a local one only if the session names none."""
+    """URI of the shared folder; creates a local one only if the session names none and runs in one process."""
     global _local_root
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="lociweave-")
         atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
