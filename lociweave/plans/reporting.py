@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lociweave.operators import fragments, placement, reports, selection, starting_path
+from lociweave.operators import fragments, placement, reports, selection, starting_path, upkeep
 from lociweave.plans.relational import SPANS, order_spans
 from lociweave.plans.repairing import PLACED, placement_hits
 from lociweave.runtime import table
@@ -196,3 +196,18 @@ SELECT w2.q AS query, 'chr2' AS target, bp AS support_bp, bp * 100.0::DOUBLE / 1
 def q67_forced_assignment(spark, sf_dir):
     """Every customer with a good hit on one given chromosome, whatever it covers."""
     return placement.forced(placement_hits(spark, sf_dir), "chr2", 20, 25)
+
+
+@query("""WITH i AS (SELECT l_orderkey AS contig, CASE WHEN l_tax = 0 THEN ' ' ELSE CASE WHEN l_discount >= 0.09 THEN '--' WHEN l_returnflag = 'R' THEN '-' ELSE '' END || '(' || l_partkey || ')' END AS item, l_partkey::VARCHAR AS seq FROM lineitem), m AS (SELECT * FROM i WHERE item <> ' '), n AS (SELECT seq, count(*) AS n FROM m GROUP BY 1)
+SELECT 'empty_contig' AS code, o_orderkey::VARCHAR AS key, 1 AS n FROM orders WHERE o_orderkey NOT IN (SELECT contig FROM i) UNION ALL SELECT 'null_member', contig::VARCHAR, count(*) FROM i WHERE item = ' ' GROUP BY contig UNION ALL
+SELECT 'malformed_member', contig::VARCHAR, count(*) FROM m WHERE starts_with(item, '--') GROUP BY contig UNION ALL SELECT 'repeated_member', seq, n FROM n WHERE n > 1 UNION ALL
+SELECT 'member_without_sequence', seq, n FROM n WHERE seq NOT IN (SELECT p_partkey::VARCHAR FROM part WHERE p_partkey % 20 IN (SELECT s_suppkey FROM supplier)) UNION ALL SELECT 'unused_sequence', p_partkey::VARCHAR, 1 FROM part WHERE p_partkey::VARCHAR NOT IN (SELECT seq FROM n)""")
+def q68_integrity(spark, sf_dir):
+    """Orders as contigs whose member lists hold parts."""
+    items = table(spark, sf_dir, "lineitem")
+    sign = F.when(F.col("l_discount") >= 0.09, "--").when(F.col("l_returnflag") == "R", "-").otherwise("")
+    item = F.when(F.col("l_tax") == 0, " ").otherwise(F.concat(sign, F.lit("("), F.col("l_partkey").cast("string"), F.lit(")")))
+    cells = items.groupBy(F.col("l_orderkey").alias("contig")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", item.alias("item")))).getField("item"), ",").alias("cell"))
+    contigs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("contig")).join(cells, "contig", "left")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 20).alias("source"))
+    return upkeep.integrity(contigs, parts, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("source")))

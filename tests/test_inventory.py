@@ -1,8 +1,9 @@
 """Inventory, validation, repair and streaming operators."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from lociweave.operators import inventory, repair, validation
+from lociweave.operators import inventory, repair, upkeep, validation
 from lociweave.streaming import incremental
 
 
@@ -104,3 +105,24 @@ def test_orders_ranges_signs_and_hidden_hits(spark):
     values, defaults = spark.createDataFrame([("x", "f", "1")], "user string, field string, value string"), spark.createDataFrame([("f", "9"), ("f", "8"), ("g", "0")], "field string, value string")
     assert sorted((r.user, r.value) for r in inventory.setting(users, values, defaults, "f").collect()) == [("x", "1"), ("y", "8")]
     assert [r.value for r in inventory.setting(users, values.limit(0), defaults.limit(0), "f").collect()] == [None, None]
+
+
+def test_upkeep(spark):
+    log = spark.createDataFrame([(1, 10, "a", "x")], "n long, at int, actor string, action string")
+    grown = upkeep.logged(log, spark.createDataFrame([(30, "b", "z"), (20, "b", "y")], "at int, actor string, action string"))
+    assert [(r.n, r.action) for r in upkeep.newest(grown, 2).collect()] == [(3, "z"), (2, "y")]
+    users = spark.createDataFrame([("u1",), ("u2",), ("u3",)], "user string")
+    edges, lists = spark.createDataFrame([("g1", "u1")], "group string, user string"), spark.createDataFrame([("i", "g1,u2,"), ("j", "u3")], "item string, allowed string")
+    assert sorted(r.user for r in upkeep.permitted(users, edges, lists, "i").collect()) == ["u1", "u2"]
+    clones, marks = spark.createDataFrame([("a", "old"), ("b", ""), ("c", "k")], "clone string, mark string"), spark.createDataFrame([("a", "new"), ("b", "new")], "clone string, mark string")
+    assert sorted((r.clone, r.mark) for r in upkeep.marked_clones(clones, marks, False).collect()) == [("a", "old"), ("b", "new"), ("c", "k")]
+    assert sorted((r.clone, r.mark) for r in upkeep.marked_clones(clones, marks, True).collect()) == [("a", "new"), ("b", "new"), ("c", "k")]
+    hits = spark.createDataFrame([("a", "1", 50, 9), ("a", "1", 20, 9), ("a", "2", 7, 99)], "contig string, chr string, position int, length int")
+    placed = upkeep.assigned_by_longest(spark.createDataFrame([("a", "0", 3), ("b", "0", 4)], "contig string, chr string, position int"), hits, "1")
+    assert sorted((r.contig, r.chr, r.position) for r in placed.collect()) == [("a", "1", 20), ("b", "1", 0)]
+    assert upkeep.with_state(clones.withColumn("status", F.lit(1)), F.col("clone") == "a", True).agg(F.sum("status")).first()[0] == 4
+    names = spark.createDataFrame([("n",)], "contig string")
+    assert upkeep.new_names(names, names.filter("false")).count() == 1
+    for bad in (upkeep.new_names(names, names), upkeep.new_names(names.unionAll(names), names.filter("false")), upkeep.reconciled_lengths(spark.createDataFrame([("n", 5)], "identity string, length int"), spark.createDataFrame([("n", 6)], "identity string, length int"))):
+        with pytest.raises(Exception, match="taken|differ"):
+            bad.collect()
