@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lociweave.functions import coordinates, nested, sequence
-from lociweave.operators import aggregates, arbitration, decisions, graph, greedy, intervals, ordering, paths, placement
+from lociweave.operators import aggregates, arbitration, decisions, graph, greedy, intervals, ordering, paths, placement, trees
 
 
 def rows(df):
@@ -213,3 +214,13 @@ def test_ordering_helpers(spark):
     df = spark.createDataFrame([(1, "a", 1, 5), (1, "b", 6, 9), (1, "c", 8, 9), (1, "d", 20, 21)], "k int, i string, start long, end long")
     got = ordering.neighbour_classes(df, ["k"], ["start"]).orderBy("start").select("relation", "bp").collect()
     assert [tuple(r) for r in got] == [("first", 0), ("adjacent", 0), ("overlap", 2), ("gap", 10)]
+
+
+def test_neighbour_joining_gives_back_an_additive_tree(spark):
+    far = {"ab": 5, "ac": 9, "ad": 9, "ae": 8, "bc": 10, "bd": 10, "be": 9, "cd": 8, "ce": 7, "de": 3}
+    df = spark.createDataFrame([(k[0], k[1], float(v)) for k, v in far.items()], "a string, b string, distance double")
+    tree = trees.neighbour_joining(df)
+    assert tree in ("(d:2.00000,e:1.00000,(c:4.00000,(a:2.00000,b:3.00000):3.00000):2.00000);", "(e:1.00000,d:2.00000,(c:4.00000,(a:2.00000,b:3.00000):3.00000):2.00000);")
+    assert trees.neighbour_joining(df.filter("a = 'a' and b = 'b'")) == "(a:2.50000,b:2.50000);"
+    with pytest.raises(ValueError, match="no distance"):
+        trees.neighbour_joining(df.filter("a <> 'a' or b <> 'b'"))

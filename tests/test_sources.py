@@ -93,3 +93,32 @@ def test_merges(spark):
     added, taken = sinks.append_new(now, new, ["k"])
     assert (rows(added), rows(taken)) == ([(1, "a"), (2, "b"), (3, "d")], [(2, "c")])
     assert rows(sinks.replace_groups(now, new, ["k"])) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_archives_are_extracted_only_if_safe(spark, tmp_path):
+    import zipfile
+
+    from lociweave.sources import archives
+
+    def packed(name, *members):
+        path = str(tmp_path / name)
+        with zipfile.ZipFile(path, "w") as z:
+            for m, text in members:
+                z.writestr(m, text)
+        return path
+
+    good = packed("good.zip", ("a/b.tsv", "x"), ("c.fa", "y"))
+    assert archives.extract_zip(good, str(tmp_path / "out")) == ["a/b.tsv", "c.fa"] and (tmp_path / "out/a/b.tsv").read_text() == "x"
+    link = zipfile.ZipInfo("l")
+    link.external_attr = 0o120777 << 16
+    for i, bad in enumerate([("../x", "1"), ("/x", "1"), ("a/../../x", "1"), (link, "t"), ("C:\\x", "1")]):
+        with pytest.raises(archives.UnsafeArchive):
+            archives.extract_zip(packed(f"bad{i}.zip", ("fine", "1"), bad), str(tmp_path / f"bad{i}"))
+        assert not (tmp_path / f"bad{i}").exists()
+    with pytest.raises(archives.UnsafeArchive, match="large"):
+        archives.extract_zip(good, str(tmp_path / "small"), 1)
+    manifest = spark.createDataFrame([("t.tsv",), ("g.FA",), ("g.fai",)], "relpath string")
+    assert [r.relpath for r in archives.delivered(manifest, False).collect()] == ["t.tsv"] and archives.delivered(manifest, True).count() == 3
+    tables = {"c": spark.createDataFrame([("a", 1), ("b", 2)], "contig string, n int"), "other": manifest}
+    got = archives.add_package(tables, {"c": "contig"}, spark.createDataFrame([("b",), ("b",)], "name string"), "name")
+    assert [r.n for r in got["c"].collect()] == [2] and got["other"].count() == 3
