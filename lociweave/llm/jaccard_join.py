@@ -15,13 +15,15 @@ Any assignment of classes is right as long as it is common to all, so the class
 holds the most frequent tokens, 8 bytes each, and at most ``MOST_FREQUENT`` of them.
 
 Documents with the same set are one class from the start. Keys and counts cross the network as packed
-arrays. A bucket's members are paired with its first member, and links found that way are closed to
-components: a group of copies costs its size. What is left are buckets whose members are in different
-components; only members of different components are paired there, and each pair in the first bucket it
-shares: every member knows its last buckets before this one, and two that share one of these have met
-already. Where one component is large, the other's members are paired with the component instead of its
+arrays. A bucket's members are paired with its first member. Of these pairs, each member's one with most
+shared keys is verified first, and links found that way are closed to components; the others are verified
+only where they lead to another component. So a group of copies costs one comparison a member. What is left are buckets whose members are in different
+components; only members of different components meet there, and each two in the first bucket they
+share: every member knows its last buckets before this one, and two that share one of these have met
+already. They are compared in units of two blocks of a bucket's members, as a matrix, and a unit gives no more links
+than connect its members; no rows of pairs are made. Where one component is large, the other's members are paired with the component instead of its
 members, and compared with blocks of it in one task; one link connects them. So no link is lost. Every
-link is found on the shingles of the texts. Only the texts of candidates move, compressed.
+link is found on the tokens of whole texts. Only candidates move: texts compressed, or the last 32 bits of their tokens.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ RARE_MOST = 32
 MOST_FREQUENT = 1 << 20
 #: Tokens are counted by their first bits. About 3 more than the logarithm of the number of tokens keeps false counts away.
 COUNT_BITS = 36
-#: Packed arrays are dealt by the first bits of their keys.
-PART_BITS = 8
+#: Packed arrays are dealt by the first bits of their keys: so many at least and at most, one more than the input's partitions have.
+PART_BITS = (8, 16)
 #: A hub's candidates are verified in groups of about this many.
 UNIT = 256
 #: A component of so many classes is compared in blocks.
@@ -179,22 +181,27 @@ def _from_planes(data: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, n).T).view(_U).ravel())
 
 
-def _first_pass(docs: DataFrame, sim: Similarity) -> DataFrame:
+def _part_bits(docs: DataFrame) -> int:
+    """The parts grow with the input, so that each stays about as large as a partition of it."""
+    return min(max(PART_BITS[0], (docs.rdd.getNumPartitions() - 1).bit_length() + 1), PART_BITS[1])
+
+
+def _first_pass(docs: DataFrame, sim: Similarity, bits: int) -> DataFrame:
     """A row per document (cells null), and rows of packed token counts for the parts of the count space."""
-    parts = 1 << PART_BITS
+    parts = 1 << bits
 
     def run(batches):
         shingler, held, size = Shingler(sim.width), [], 0
 
         def packed():
             cells = np.sort(np.concatenate(held) >> _U(64 - COUNT_BITS))
-            part = (cells >> _U(COUNT_BITS - PART_BITS)).astype(np.int64)
+            part = (cells >> _U(COUNT_BITS - bits)).astype(np.int64)
             cuts = np.searchsorted(part, np.arange(parts + 1))
             rows = [(p, int(b - a), _planes(cells[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             none = [None] * len(rows)
             return _batch_first([r[0] for r in rows], none, none, [r[1] for r in rows], none, none, [r[2] for r in rows])
 
-        for batch in batches:
+        for batch in sliced(batches):
             sets = shingler.sets(_texts(batch.column(1)))
             digests = [_digest(s) for s in sets]
             yield _batch_first([d[0] % parts for d in digests], batch.column(0), batch.column(2), [len(s) for s in sets], [d[0] for d in digests], [d[1] for d in digests], [None] * len(sets))
@@ -215,7 +222,7 @@ def _batch_first(part, doc_id, block, n, d1, d2, cells):
     return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _FIRST.split(", ")])
 
 
-def _counted(first: DataFrame) -> DataFrame:
+def _counted(first: DataFrame, bits: int) -> DataFrame:
     """Document rows as they are; instead of packed counts the cells in over RARE_MOST documents (doc_id null, n the count, d1 the cell)."""
 
     def run(batches):
@@ -234,7 +241,7 @@ def _counted(first: DataFrame) -> DataFrame:
             yield _batch_first([p] * k, none, none, count[often], cells[often].astype(np.int64), none, none).drop_columns(["cells"])
 
     out = ", ".join(x for x in _FIRST.split(", ") if not x.startswith("cells"))
-    return first.repartition(1 << PART_BITS, "part").mapInArrow(run, out)
+    return first.repartition(1 << bits, "part").mapInArrow(run, out)
 
 
 def _frequent_cells(counted: DataFrame) -> np.ndarray:
@@ -271,7 +278,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, sim: Similarity) -> np.
     return np.concatenate((rare, _mix(many[:-1] * _U(0x2545F4914F6CDD1D) + many[1:])))
 
 
-def _second_pass(docs: DataFrame, frequent, sim: Similarity) -> DataFrame:
+def _second_pass(docs: DataFrame, frequent, sim: Similarity, bits: int) -> DataFrame:
     def run(batches):
         shingler, table = Shingler(sim.width), np.frombuffer(frequent.value, _U)
         seen: set[int] = set()
@@ -283,7 +290,7 @@ def _second_pass(docs: DataFrame, frequent, sim: Similarity) -> DataFrame:
             order = np.argsort(flat, kind="stable")
             flat, owner = flat[order], owner[order]
             which = np.array(classes, np.int64).reshape(-1, 2)
-            cuts = np.searchsorted(flat >> _U(64 - PART_BITS), np.arange((1 << PART_BITS) + 1))
+            cuts = np.searchsorted(flat >> _U(64 - bits), np.arange((1 << bits) + 1))
             rows = []
             for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if b > a:
@@ -292,7 +299,7 @@ def _second_pass(docs: DataFrame, frequent, sim: Similarity) -> DataFrame:
             kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in _KEYS.split(", ")])
 
-        for batch in batches:
+        for batch in sliced(batches):
             for s in shingler.sets(_texts(batch.column(1))):
                 if not len(s) or (name := _digest(s)[0]) in seen:
                     continue
@@ -303,17 +310,18 @@ def _second_pass(docs: DataFrame, frequent, sim: Similarity) -> DataFrame:
             if size >= FLUSH // 4:
                 yield packed()
                 keys, classes, size = [], [], 0
+                seen.clear()
         if size:
             yield packed()
 
     return docs.mapInArrow(run, _KEYS)
 
 
-_BUCKETS = "bucket long, a long, b long"
+_BUCKETS = "bucket long, a long, b long, shared long"
 
 
-def _buckets(keys: DataFrame, sim: Similarity) -> DataFrame:
-    """Rows (null, first member, other member) to verify, and rows (bucket, member, size) of buckets of three and more."""
+def _buckets(keys: DataFrame, sim: Similarity, bits: int) -> DataFrame:
+    """Rows (PAIR, first member, other member, shared keys) to verify, and rows (bucket, member, size, null) of buckets of three and more."""
 
     def run(batches):
         held: dict[int, list] = {}
@@ -335,82 +343,110 @@ def _buckets(keys: DataFrame, sim: Similarity) -> DataFrame:
             head = np.repeat(begin, count)
             at = np.flatnonzero(shared & (head != np.arange(len(key))))
             fit = sim.sizes_fit(size[head[at]], size[at])
-            pairs = np.unique(np.stack((cls[head[at][fit]], cls[at[fit]]), 1), axis=0)
-            yield from _bucket_rows(np.full(len(pairs), PAIR), pairs[:, 0], pairs[:, 1])
+            pairs, shared = np.unique(np.stack((cls[head[at][fit]], cls[at[fit]]), 1), axis=0, return_counts=True)
+            yield from _bucket_rows(np.full(len(pairs), PAIR), pairs[:, 0], pairs[:, 1], shared)
             large = np.flatnonzero(count > 2)
             names = _mix(np.add.reduceat(_mix(cls.astype(_U)), begin) + count.astype(_U)) if len(begin) else np.zeros(0, _U)
             large = large[np.sort(np.unique(names[large], return_index=True)[1])]  # of equal buckets the first
             rows = np.concatenate([np.arange(begin[i], begin[i] + count[i]) for i in large]) if len(large) else np.zeros(0, np.int64)
-            yield from _bucket_rows(np.repeat(key[begin[large]].astype(np.int64), count[large]), cls[rows], size[rows])
+            yield from _bucket_rows(np.repeat(key[begin[large]].astype(np.int64), count[large]), cls[rows], size[rows], np.zeros(len(rows), np.int64))
 
-    return keys.repartition(1 << PART_BITS, "part").mapInArrow(run, _BUCKETS)
+    return keys.repartition(1 << bits, "part").mapInArrow(run, _BUCKETS)
 
 
-def _bucket_rows(bucket, a, b, step: int = 50_000):
+def _bucket_rows(bucket, a, b, shared, step: int = 50_000):
     for i in range(0, len(a), step):
-        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step], pa.int64()) for x in (bucket, a, b)], names=["bucket", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[i : i + step], pa.int64()) for x in (bucket, a, b, shared)], names=["bucket", "a", "b", "shared"])
+
+
+_OPEN = "kind int, a long, b long, cls long, component long"
 
 
-def _open_pairs(members: DataFrame, large: DataFrame, sim: Similarity) -> DataFrame:
-    """What is open between one bucket's members (bucket, cls, size, component) of different components: (kind, a, b).
+def _open_work(members: DataFrame, large: DataFrame, sim: Similarity) -> DataFrame:
+    """What is open between one bucket's members (bucket, cls, size, component) of different components: (kind, a, b, cls, component).
 
-    Kind 0: a and b are classes of components that are not in ``large`` (component). Kind 1: a is a large
-    component, b a class of another. Kind 2: both are large components.
+    Kind 0: the class takes part in unit b of bucket a, where it has a partner to be compared with; neither's
+    component is in ``large`` (component). Kind 1: a is a large component, b a class of another. Kind 2: both are
+    large components.
 
-    Common buckets come in the same order for both of a pair. In the first of them, neither knows an earlier one
-    that the other knows too, so there the pair is made; nearly all later ones see an earlier one in common.
+    A bucket's members are dealt to blocks of about UNIT, and a unit is a pair of blocks, so no task holds a whole
+    bucket. Common buckets come in the same order for both of a pair. In the first of them, neither knows an earlier one
+    that the other knows too, so there the pair is open; in nearly all later ones they see an earlier one in common.
     """
     mixed = members.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
     before = Window.partitionBy("cls").orderBy("bucket")
-    marked = members.join(large.withColumn("large", F.lit(1).cast("long")), "component", "left")
-    known = marked.join(mixed, "bucket").select("bucket", "component", "cls", "size", F.coalesce("large", F.lit(0)).cast("long").alias("large"), *[F.lag("bucket", i).over(before).alias(f"e{i}") for i in range(1, EARLIER + 1)])
-    dealt = known.repartition(shuffle_partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket", "component", "cls")
+    # Written before the window, so that a component with many members can be split in the join.
+    marked = store(members.join(large.withColumn("large", F.lit(1).cast("long")), "component", "left"), "marked")
+    earlier = [f"e{i}" for i in range(1, EARLIER + 1)]
+    known = marked.join(mixed, "bucket").select("bucket", "component", "cls", "size", F.coalesce("large", F.lit(0)).cast("long").alias("large"), *[F.lag("bucket", i + 1).over(before).alias(e) for i, e in enumerate(earlier)])
+    known = store(known, "mixed")
+    drop_stored(marked)
+    small = known.filter("large = 0")
+    parts = small.groupBy("bucket").agg(F.ceil(F.count("*") / UNIT).cast("long").alias("parts"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    own = F.pmod(F.xxhash64("cls"), F.col("parts"))
+    ours = small.join(parts, "bucket").select("bucket", "component", "cls", "size", "large", own.alias("own"), each.alias("other"), *earlier)
+    ours = ours.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "component", "cls", "size", "large", "own", *earlier)
+    none = [F.lit(None).cast("long").alias(e) for e in ("cls", "size")], [F.lit(None).cast("long").alias(e) for e in earlier]
+    theirs = known.filter("large = 1").select("bucket", "component").distinct().join(parts, "bucket", "left").select("bucket", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("x"))
+    theirs = theirs.select("bucket", "x", F.col("x").alias("y"), "component", *none[0], F.lit(1).cast("long").alias("large"), F.col("x").alias("own"), *none[1])
+    unit = ["bucket", "x", "y"]
+    dealt = ours.unionAll(theirs).repartition(shuffle_partitions(members.sparkSession), *unit).sortWithinPartitions(*unit, "component", "cls")
 
     def run(batches):
         now, held = None, []
 
-        def pairs():
+        def opened():
             table = np.concatenate(held)
-            wide = table[:, 3] == 1
-            if wide.any():
-                groups, others = np.unique(table[wide, 0]), table[~wide, 1]
-                yield _open_rows(1, np.repeat(groups, len(others)), np.tile(others, len(groups)))
-                low, high = np.triu_indices(len(groups), 1)
-                yield _open_rows(2, groups[low], groups[high])
-                table = table[~wide]
-            comp, cls, size, earlier = table[:, 0], table[:, 1], table[:, 2], table[:, 4:]
-            for i in range(len(cls) - 1):
-                at = np.flatnonzero((comp[i + 1 :] != comp[i]) & sim.sizes_fit(size[i + 1 :], size[i])) + i + 1
-                own = earlier[i][earlier[i] != PAIR]
-                if len(own) and len(at):
-                    at = at[~np.isin(earlier[at], own).any(1)]
+            (bucket, x, y), wide = now, table[:, 3] == 1
+            groups, rest = np.unique(table[wide, 0]), table[~wide]
+            if x == y and len(groups):
+                yield _open_rows(1, np.repeat(groups, len(rest)), np.tile(rest[:, 1], len(groups)))
+                if x == 0:
+                    low, high = np.triu_indices(len(groups), 1)
+                    yield _open_rows(2, groups[low], groups[high])
+            comp, size, block, known = rest[:, 0], rest[:, 2], rest[:, 4], rest[:, 5:]
+            needed = np.zeros(len(rest), bool)
+            for i in range(len(rest) - 1):
+                at = np.flatnonzero((comp[i + 1 :] != comp[i]) & sim.sizes_fit(size[i + 1 :], size[i]) & ((x == y) | (block[i + 1 :] != block[i]))) + i + 1
+                mine = known[i][known[i] != PAIR]
+                if len(mine) and len(at):
+                    at = at[~np.isin(known[at], mine).any(1)]
                 if len(at):
-                    yield _open_rows(0, np.minimum(cls[i], cls[at]), np.maximum(cls[i], cls[at]))
+                    needed[i] = needed[at] = True
+            if needed.any():
+                n = int(needed.sum())
+                yield _open_rows(0, np.full(n, bucket), np.full(n, x << 32 | y), rest[needed, 1], comp[needed])
 
         for batch in batches:
-            buckets = batch.column(0).to_pylist()
-            table = np.stack([c.fill_null(PAIR).to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1)
-            for a, b, bucket in runs(buckets):
-                if bucket != now and held:
-                    yield from pairs()
+            units = list(zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True))
+            table = np.stack([c.fill_null(PAIR).to_numpy(zero_copy_only=False) for c in batch.columns[3:]], 1)
+            for a, b, key in runs(units):
+                if key != now and held:
+                    yield from opened()
                     held = []
-                now = bucket
+                now = key
                 held.append(table[a:b])
         if held:
-            yield from pairs()
+            yield from opened()
 
-    return dealt.mapInArrow(run, "kind int, a long, b long").distinct()
+    return dealt.mapInArrow(run, _OPEN)
 
 
-def _open_rows(kind: int, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+def _open_rows(kind: int, a: np.ndarray, b: np.ndarray, cls: np.ndarray | None = None, component: np.ndarray | None = None) -> pa.RecordBatch:
+    none = pa.nulls(len(a), pa.int64())
+    columns = [pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), none if cls is None else pa.array(cls, pa.int64()), none if component is None else pa.array(component, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _OPEN.split(", ")])
 
 
 # --- Verification ----------------------------------------------------------------------------------
 
 
-def _texts_of(wanted: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
-    """(d1, packed): the compressed texts of the classes in ``wanted`` (d1). ``docs`` are doc_id, text, block; ``reps`` say where each class has its text."""
+def _fetched(wanted: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity, short: bool = False) -> DataFrame:
+    """(d1, n, packed): of the classes in ``wanted`` (d1) the number of tokens, and the compressed text or (``short``) the distinct last 32 bits of the tokens.
+
+    ``docs`` are doc_id, text, block; ``reps`` say where each class has its text.
+    """
     path = write_side(reps.join(wanted, "d1", "left_semi").select(F.col("block").alias(BLOCK), "doc_id", "d1").distinct(), "candidates")
 
     def fetch(batches):
@@ -426,25 +462,25 @@ def _texts_of(wanted: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similari
                     if side is not None:
                         for i, d in zip(side.column("doc_id").to_pylist(), side.column("d1").to_pylist(), strict=True):
                             places.setdefault(i, set()).add(d)
-                for i in range(a, b):
-                    if ids[i] in places:
-                        text = texts[i].as_py() or b""
-                        d1 = _digest(shingler.sets([text])[0])[0]
-                        if d1 in places[ids[i]]:
-                            out[d1] = squeeze.compress(text)
+                here = [i for i in range(a, b) if ids[i] in places]
+                found = [texts[i].as_py() or b"" for i in here]
+                for i, text, own in zip(here, found, shingler.sets(found), strict=True):
+                    d1 = _digest(own)[0]
+                    if d1 in places[ids[i]]:
+                        out[d1] = (len(own), np.unique(own.astype(np.uint32)).tobytes() if short else squeeze.compress(text))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["d1", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.binary())], names=["d1", "n", "packed"])
 
-    return docs.mapInArrow(fetch, "d1 long, packed binary")
+    return docs.mapInArrow(fetch, "d1 long, n long, packed binary")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
     """(a, b) of the pairs of classes that link."""
-    texts = _texts_of(pairs.select(F.col("a").alias("d1")).unionAll(pairs.select("b")).distinct(), reps, docs, sim)
+    shipped = _fetched(pairs.select(F.col("a").alias("d1")).unionAll(pairs.select("b")).distinct(), reps, docs, sim)
     hubs = pairs.groupBy("a").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("units"))
     dealt = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), "units").cast("int").alias("unit"), F.col("b").alias("d1"))
     sides = dealt.unionAll(dealt.select("a", "unit", "a").distinct())
-    units = sides.join(texts, "d1").repartition(shuffle_partitions(pairs.sparkSession), "a", "unit").sortWithinPartitions("a", "unit", F.col("d1") != F.col("a"), "d1").select("a", "unit", "d1", "packed")
+    units = sides.join(shipped, "d1").repartition(shuffle_partitions(pairs.sparkSession), "a", "unit").sortWithinPartitions("a", "unit", F.col("d1") != F.col("a"), "d1").select("a", "unit", "d1", "packed")
 
     def compare(batches):
         import zstandard
@@ -469,9 +505,94 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarit
     return units.mapInArrow(compare, "a long, b long")
 
 
+def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, as a matrix product over blocks of tokens."""
+    found, flat, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # a token of one set only adds nothing
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = times[flat] > 1
+    owner, token = owner[shared], place[flat[shared]]
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for first in range(0, int(place[-1]) + 1 if len(place) else 0, width):
+        a, b = np.searchsorted(token, (first, first + width))
+        there = np.zeros((len(sets), width), np.float32)
+        there[owner[a:b], token[a:b] - first] = 1
+        total += there @ there.T
+    return total.astype(np.int64)
+
+
+def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, every: bool) -> DataFrame:
+    """(bucket, unit, a, b): pairs of each unit (bucket, unit, cls, component) that may link; all, or as many as connect them.
+
+    ``tokens`` are (cls, n, packed) with the last 32 bits of each token. Tokens of one set that agree in these count
+    for the overlap, so no link is missed.
+    """
+    unit = ["bucket", "unit"]
+    dealt = work.join(tokens, "cls").select(*unit, "component", "cls", "n", "packed").repartition(shuffle_partitions(work.sparkSession), *unit).sortWithinPartitions(*unit, "cls")
+
+    def run(batches):
+        now, names, comps, sizes, sets = None, [], [], [], []
+
+        def pairs():
+            size, comp = np.array(sizes), np.array(comps)
+            merged = size - np.array([len(s) for s in sets])
+            hits = sim.linked(common_tokens(sets) + np.maximum(merged[:, None], merged), size[:, None], size) & (comp[:, None] != comp)
+            top = {c: c for c in comps}
+
+            def root(c):
+                while top[c] != c:
+                    top[c] = c = top[top[c]]
+                return c
+
+            for i, j in np.argwhere(np.triu(hits, 1)).tolist():
+                u, v = root(comps[i]), root(comps[j])
+                if every or u != v:
+                    top[u] = v
+                    yield (*now, names[i], names[j])
+
+        def sent(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=[*unit, "a", "b"])
+
+        for batch in sliced(batches):
+            found = []
+            for *key, comp, cls, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    if len(sets) > 1:
+                        found += pairs()
+                    now, names, comps, sizes, sets = key, [], [], [], []
+                names.append(cls)
+                comps.append(comp)
+                sizes.append(n)
+                sets.append(np.frombuffer(packed, np.uint32))
+            if found:
+                yield sent(found)
+        if len(sets) > 1 and (found := list(pairs())):
+            yield sent(found)
+
+    return dealt.mapInArrow(run, "bucket long, unit long, a long, b long")
+
+
+def _unit_links(work: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """(a, b): links that connect what is linked within each unit (bucket, unit, cls, component).
+
+    Units name as few candidates as connect them. Should one not hold on the whole tokens, its unit is asked for all.
+    """
+    tokens = _fetched(work.select(F.col("cls").alias("d1")).distinct(), reps, docs, sim, short=True).withColumnRenamed("d1", "cls")
+    found = store(_unit_candidates(work, tokens, sim, every=False), "unit-candidates")
+    links = store(_verified(found.select("a", "b").distinct(), reps, docs, sim), "links")
+    wrong = store(found.join(links, ["a", "b"], "left_anti").select("bucket", "unit").distinct(), "wrong-units")
+    if wrong.limit(1).count():
+        again = _unit_candidates(work.join(wrong, ["bucket", "unit"], "left_semi"), tokens, sim, every=True).select("a", "b").distinct()
+        links = links.unionAll(store(_verified(again, reps, docs, sim), "links"))
+    return links
+
+
 def _block_links(wide: DataFrame, members: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
     """(a, b): for each (component, cls) of ``wide`` a link of the class into each block of the component that has one. ``members`` are all (component, cls) of these components."""
-    texts = _texts_of(wide.select(F.col("cls").alias("d1")).unionAll(members.select("cls")).distinct(), reps, docs, sim).withColumnRenamed("d1", "cls")
+    shipped = _fetched(wide.select(F.col("cls").alias("d1")).unionAll(members.select("cls")).distinct(), reps, docs, sim).withColumnRenamed("d1", "cls")
     parts = lambda df, name: df.groupBy("component").agg(F.ceil(F.count("*") / UNIT).cast("int").alias(name))
     sizes = parts(members, "blocks").join(parts(wide, "groups"), "component")
     part = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
@@ -479,7 +600,7 @@ def _block_links(wide: DataFrame, members: DataFrame, reps: DataFrame, docs: Dat
     inner = members.join(sizes, "component").select("component", part(F.col("blocks")).alias("block"), each("groups").alias("group"), F.lit(0).alias("role"), "cls")
     outer = wide.join(sizes, "component").select("component", each("blocks").alias("block"), part(F.col("groups")).alias("group"), F.lit(1).alias("role"), "cls")
     unit = ["component", "block", "group"]
-    dealt = inner.unionAll(outer).join(texts, "cls").select(*unit, "role", "cls", "packed").repartition(shuffle_partitions(wide.sparkSession), *unit).sortWithinPartitions(*unit, "role", "cls")
+    dealt = inner.unionAll(outer).join(shipped, "cls").select(*unit, "role", "cls", "packed").repartition(shuffle_partitions(wide.sparkSession), *unit).sortWithinPartitions(*unit, "role", "cls")
 
     def run(batches):
         import zstandard
@@ -522,7 +643,8 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     """
     spark = docs.sparkSession
     held = with_blocks(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(BLOCK))
-    counted = store(_counted(_first_pass(held, sim)), "shingle-counts")
+    bits = _part_bits(held)
+    counted = store(_counted(_first_pass(held, sim, bits), bits), "shingle-counts")
     rows = counted.filter("block is not null").select("doc_id", "block", "n", "d1", "d2")
     frequent = spark.sparkContext.broadcast(_frequent_cells(counted).tobytes())
 
@@ -530,24 +652,29 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity(), id_col: str
     reps = rows.filter("n > 0").groupBy("d1", "d2").agg(place.alias("p"), F.max("n").alias("n")).select("d1", "d2", "n", "p.doc_id", "p.block")
     reps = store(reps, "shingle-classes")
 
-    buckets = store(_buckets(_second_pass(held, frequent, sim), sim), "shingle-buckets")
-    pairs = store(buckets.filter(F.col("bucket") == PAIR).select("a", "b").distinct(), "pairs")
-    links = store(_verified(pairs, reps, held, sim), "links")
+    buckets = store(_buckets(_second_pass(held, frequent, sim, bits), sim, bits), "shingle-buckets")
+    pairs = store(buckets.filter(F.col("bucket") == PAIR).groupBy("a", "b").agg(F.sum("shared").alias("shared")), "pairs")
+    likely = store(pairs.groupBy("b").agg(F.max(F.struct("shared", F.bitwise_not(F.col("a")).alias("other"))).alias("x")).select(F.bitwise_not(F.col("x.other")).alias("a"), "b"), "likely")
+    first = store(_verified(likely, reps, held, sim), "links")
+    near = connected_components(first, "a", "b")
+    side = lambda end: near.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+    apart = pairs.join(likely, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = apart.filter(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
+    links = first.unionAll(store(_verified(store(apart, "apart"), reps, held, sim), "links"))
     large = buckets.filter(F.col("bucket") != PAIR).select("bucket", F.col("a").alias("cls"), F.col("b").alias("size")).distinct()
     parts = connected_components(links, "a", "b")
     known = large.join(parts, F.col("cls") == F.col("node"), "left").select("bucket", "cls", "size", F.coalesce("component", "cls").alias("component"))
-    both_ways = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     classes = known.select("component", "cls").distinct()
-    heavy = classes.groupBy("component").count().filter(F.col("count") >= LARGE).select("component")
-    still = store(_open_pairs(known, heavy, sim), "open")
-    rest = still.filter("kind = 0").select("a", "b").join(both_ways, ["a", "b"], "left_anti")
-    second = store(_verified(rest, reps, held, sim), "links")
+    heavy = store(classes.groupBy("component").count().filter(F.col("count") >= LARGE).select("component"), "heavy")
+    still = store(_open_work(known, heavy, sim), "open")
+    second = _unit_links(still.filter("kind = 0").select(F.col("a").alias("bucket"), F.col("b").alias("unit"), "cls", "component"), reps, held, sim)
     # Of two large components, all classes of one are compared with the other.
-    apart = still.filter("kind = 2").select(F.col("a").alias("big"), F.col("b").alias("component")).join(classes, "component").select(F.col("big").alias("component"), "cls")
-    wide = store(still.filter("kind = 1").select(F.col("a").alias("component"), F.col("b").alias("cls")).unionAll(apart).distinct(), "wide")
+    between = still.filter("kind = 2").select(F.col("a").alias("big"), F.col("b").alias("component")).join(classes, "component").select(F.col("big").alias("component"), "cls")
+    wide = store(still.filter("kind = 1").select(F.col("a").alias("component"), F.col("b").alias("cls")).unionAll(between).distinct(), "wide")
     inner = parts.select("component", F.col("node").alias("cls")).join(wide.select("component").distinct(), "component", "left_semi")
     links = links.unionAll(second).unionAll(store(_block_links(wide, inner, reps, held, sim), "links"))
-    drop_stored(buckets)
+    for done in (buckets, pairs, likely, still):
+        drop_stored(done)
 
     # From classes to documents.
     name = reps.select("d1", "doc_id")
