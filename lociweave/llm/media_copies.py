@@ -177,8 +177,9 @@ def find_copies(queries: DataFrame, media: DataFrame, id_col: str = "media_id",
     """(query_id, media_id, inliers, scale, rotation, dx, dy) for each query image and each image it is a copy of.
 
     The transform takes the query's pixels to the other image's; the one with most inliers is given. Repeated
-    images are all found. Either side may be empty. Null ids and columns beside the two are ignored. Time grows
-    with the product of the corners of both sides.
+    images are all found, rows that repeat an id as well. Either side may be empty. Null ids and columns beside the two
+    are ignored. Images of any size are read whole. Of transforms with equally many inliers the first is given, in the
+    order of the query's corners. Time grows with the product of the corners of both sides.
     """
     index, asked = store(describe(media, id_col, image_col), "corners"), store(describe(queries, id_col, image_col), "corners")
     named = lambda df, side: df.select(*[F.col(c).alias(f"{side}_{c}") for c in df.columns])

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociweave.runtime import store
+from lociweave.runtime import drop_stored, store
 
 BLOCKS = 1024
 GRID = 32
@@ -111,6 +111,8 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeats: float
     ends = ends.withColumnRenamed("p_source", "e_source")
     stops = stops.select(F.col("p_source").alias("s_source"), F.col("block_key").alias("stop_block_key"), "stop_block")
     plan = store(plan.join(stops, F.col("source").eqNullSafe(F.col("s_source")), "left").join(ends, F.col("source").eqNullSafe(F.col("e_source")), "left").select(F.col("source").alias("p_source"), "weight", "epochs", "stop_block_key", "stop_block", "stop_doc_key"), "mix-plan")
+    for done in (small, sums):
+        drop_stored(done)
 
     joined = held.withColumns({"__doc": doc, "block": block}).join(plan, source.eqNullSafe(F.col("p_source")), "left")
     last = F.coalesce("epochs", F.lit(1)).cast("long") + 1
