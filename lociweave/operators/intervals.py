@@ -1,4 +1,8 @@
-"""Interval operators. Intervals are closed and 1-based unless a function says otherwise; columns are start and end."""
+"""Interval operators. Intervals are closed and 1-based unless a function says otherwise; columns are start and end.
+
+Functions with windows (islands, gaps, lonely) sort the rows of a key in one task: add a column that parts a hot key, such
+as the chromosome beside the contig, to the keys. Joins meet in bins and spread a hot key.
+"""
 
 from __future__ import annotations
 
