@@ -73,3 +73,23 @@ def _overlaps(left: str, right: str, most_overlap: int, most_trim: int) -> list[
         k += k < len(head) and c == head[k]
         matched.append(k)
     return [matched[len(left) - 1 - t] if t < len(left) else 0 for t in range(most_trim + 1)]
+
+
+# The overlap of two contigs that may be merged without a donor, and how much of the left one's end may go.
+LEAST_OVERLAP, MOST_OVERLAP, MOST_TRIM = 10_000, 500_000, 100
+
+
+def merged_directly(gaps: DataFrame, least: int = LEAST_OVERLAP, most: int = MOST_OVERLAP, most_trim: int = MOST_TRIM) -> DataFrame:
+    """Gaps (gap_start, gap_end, left_sequence, right_sequence) with trim_left, trim_right, edit_start and edit_end where the neighbours overlap exactly.
+
+    A flush overlap wins if it is long enough; one that takes the whole right sequence rules a merge out. Otherwise the
+    longest overlap after trimming the left end, of equal ones the least trimmed. All four are null where there is none.
+    """
+    tail = F.expr(f"right(left_sequence, {most + most_trim})")
+    rows = longest_overlaps(gaps.withColumns({"__l": F.upper(tail), "__r": F.upper(F.substring("right_sequence", 1, most))}), "__l", "__r", most, most_trim)
+    flush, size = F.get("overlaps", F.lit(0)), F.length("right_sequence")
+    trims = F.transform("overlaps", lambda n, i: F.struct(n.alias("n"), (-i).alias("t")))
+    best = F.array_max(F.filter(trims, lambda x: (x["t"] < 0) & (-x["t"] < F.length("left_sequence")) & (x["n"] >= least) & (x["n"] < size)))
+    picked = F.when(flush >= size, F.lit(None)).when(flush >= least, F.struct(flush.alias("n"), F.lit(0).alias("t"))).otherwise(best)
+    rows = rows.withColumn("__p", picked).withColumns({"trim_left": -F.col("__p.t"), "trim_right": F.col("__p.n")})
+    return rows.withColumns({"edit_start": F.col("gap_start") - F.col("trim_left"), "edit_end": F.col("gap_end") + F.col("trim_right")}).drop("__l", "__r", "__p", "overlaps")

@@ -224,3 +224,22 @@ def test_neighbour_joining_gives_back_an_additive_tree(spark):
     assert trees.neighbour_joining(df.filter("a = 'a' and b = 'b'")) == "(a:2.50000,b:2.50000);"
     with pytest.raises(ValueError, match="no distance"):
         trees.neighbour_joining(df.filter("a <> 'a' or b <> 'b'"))
+
+
+def test_direct_merges_by_brute_force(spark):
+    rng = random.Random(8)
+    data = []
+    for i in range(150):
+        a, b = "".join(rng.choice("AC") for _ in range(rng.randrange(1, 14))), "".join(rng.choice("AC") for _ in range(rng.randrange(1, 14)))
+        data.append((i, 100, 120, a, b))
+    got = {r.i: (r.trim_left, r.trim_right, r.edit_start, r.edit_end) for r in greedy.merged_directly(spark.createDataFrame(data, "i int, gap_start long, gap_end long, left_sequence string, right_sequence string"), 3, 20, 2).collect()}
+    for i, s, e, a, b in data:
+        over = [max(k for k in range(min(len(x), len(b)) + 1) if x.endswith(b[:k])) if x else 0 for x in (a[: len(a) - t] if t < len(a) else "" for t in range(3))]
+        if over[0] >= len(b):
+            want = None
+        elif over[0] >= 3:
+            want = (0, over[0])
+        else:
+            best = max(((n, -t) for t, n in enumerate(over) if 0 < t < len(a) and 3 <= n < len(b)), default=None)
+            want = best and (-best[1], best[0])
+        assert got[i] == ((want[0], want[1], s - want[0], e + want[1]) if want else (None,) * 4), (a, b)
