@@ -33,11 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociweave.operators.graph import connected_components
-from lociweave.llm.side_tables import BLOCK, read_side, runs, sliced, with_blocks, write_side
+from lociweave.llm.side_tables import BLOCK, read_side, released, runs, sliced, with_blocks, write_side
 from lociweave.runtime import drop_stored, shuffle_partitions, store
 
 #: A token in more documents than this is frequent.
@@ -99,20 +100,27 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once; ``x`` is not empty. A sort and a mask, which for short arrays is less than :func:`numpy.unique` does."""
+    x = np.sort(x)
+    new = np.empty(len(x), bool)
+    new[0] = True
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
+#: A-Z in lower case, white space as spaces.
+PLAIN = bytes(32 if i in (32, *range(9, 14)) else i + 32 if 65 <= i <= 90 else i for i in range(256))
+
+
 class Shingler:
-    """Sorted distinct shingle hashes of texts; works on the bytes of many texts at once."""
+    """Sorted distinct shingle hashes of texts; works on the words of many texts at once, and hashes each distinct word once."""
 
     def __init__(self, width: int):
         self.width = width
         self.letter = _mix(np.arange(256, dtype=_U))
         self.power = np.cumprod(np.full(4096, 0x5851F42D4C957F2D, _U))
         self.place = _mix(np.arange(width, dtype=_U) + _U(1000)) | _U(1)
-        space = np.zeros(256, bool)
-        space[[32, *range(9, 14)]] = True
-        self.space = space
-        low = np.arange(256, dtype=np.uint8)
-        low[65:91] += 32
-        self.low = low
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         out, start, size = [], 0, 0
@@ -123,21 +131,30 @@ class Shingler:
             size += len(t)
         return out + self._sets(texts[start:])
 
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words, and where each text's end among them."""
+        parts = pc.split_pattern(pa.array([t.translate(PLAIN) for t in texts], pa.binary()), " ")
+        flat, ends = parts.flatten(), np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))
+        some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+        if not some.all():
+            flat, ends = flat.filter(pa.array(some)), np.concatenate(([0], np.cumsum(some)))[ends]
+        if not len(flat):
+            return np.zeros(0, _U), ends
+        named = flat.dictionary_encode()
+        _, offsets, data = named.dictionary.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[: len(named.dictionary) + 1].astype(np.int64)
+        data, length = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], np.diff(offsets)
+        begin = offsets[:-1] - offsets[0]
+        if length.max() > len(self.power):
+            self.power = np.cumprod(np.full(int(length.max()) * 2, 0x5851F42D4C957F2D, _U))
+        within = np.arange(len(data)) - np.repeat(begin, length)
+        hashes = _mix(np.add.reduceat(self.letter[data] * self.power[within], begin) + length.astype(_U))
+        return hashes[named.indices.to_numpy()], ends
+
     def _sets(self, texts: list[bytes]) -> list[np.ndarray]:
         if not texts:
             return []
-        data = self.low[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
-        solid = ~self.space[data]
-        edge = np.flatnonzero(np.diff(np.concatenate(([False], solid))))
-        first, length = edge[::2], edge[1::2] - edge[::2]
-        if not len(first):
-            return [np.zeros(0, _U)] * len(texts)
-        if length.max() > len(self.power):
-            self.power = np.cumprod(np.full(int(length.max()) * 2, 0x5851F42D4C957F2D, _U))
-        begin = np.cumsum(length) - length
-        within = np.arange(begin[-1] + length[-1]) - np.repeat(begin, length)
-        words = _mix(np.add.reduceat(self.letter[data[solid]] * self.power[within], begin) + length.astype(_U))
-        ends = np.searchsorted(first, np.cumsum([len(t) + 1 for t in texts]))
+        words, ends = self._words(texts)
         w = self.width
         if len(words) >= w:
             rows = len(words) - w + 1
@@ -146,7 +163,7 @@ class Shingler:
         for b in ends.tolist():
             n = b - a
             if n >= w:
-                out.append(np.unique(shingles[a : b - w + 1]))
+                out.append(_distinct(shingles[a : b - w + 1]))
             elif n:
                 out.append(_mix(np.array([(words[a:b] * self.place[:n]).sum() + _U(7919 * n)], _U)))
             else:
@@ -213,7 +230,7 @@ def _first_pass(docs: DataFrame, sim: Similarity, bits: int) -> DataFrame:
         if size:
             yield packed()
 
-    return docs.mapInArrow(run, _FIRST)
+    return docs.mapInArrow(released(run), _FIRST)
 
 
 def _batch_first(part, doc_id, block, n, d1, d2, cells):
@@ -230,7 +247,7 @@ def _counted(first: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             mask = batch.column(6).is_null()
             yield batch.filter(mask).drop_columns(["cells"])
-            other = batch.filter(pa.compute.invert(mask))
+            other = batch.filter(pc.invert(mask))
             for p, n, cells in zip(*(other.column(i).to_pylist() for i in (0, 3, 6)), strict=True):
                 held.setdefault(p, []).append(_from_planes(cells, n))
         for p, many in held.items():
@@ -241,7 +258,7 @@ def _counted(first: DataFrame, bits: int) -> DataFrame:
             yield _batch_first([p] * k, none, none, count[often], cells[often].astype(np.int64), none, none).drop_columns(["cells"])
 
     out = ", ".join(x for x in _FIRST.split(", ") if not x.startswith("cells"))
-    return first.repartition(1 << bits, "part").mapInArrow(run, out)
+    return first.repartition(1 << bits, "part").mapInArrow(released(run), out)
 
 
 def _frequent_cells(counted: DataFrame) -> np.ndarray:
@@ -314,7 +331,7 @@ def _second_pass(docs: DataFrame, frequent, sim: Similarity, bits: int) -> DataF
         if size:
             yield packed()
 
-    return docs.mapInArrow(run, _KEYS)
+    return docs.mapInArrow(released(run), _KEYS)
 
 
 _BUCKETS = "bucket long, a long, b long, shared long"
@@ -351,7 +368,7 @@ def _buckets(keys: DataFrame, sim: Similarity, bits: int) -> DataFrame:
             rows = np.concatenate([np.arange(begin[i], begin[i] + count[i]) for i in large]) if len(large) else np.zeros(0, np.int64)
             yield from _bucket_rows(np.repeat(key[begin[large]].astype(np.int64), count[large]), cls[rows], size[rows], np.zeros(len(rows), np.int64))
 
-    return keys.repartition(1 << bits, "part").mapInArrow(run, _BUCKETS)
+    return keys.repartition(1 << bits, "part").mapInArrow(released(run), _BUCKETS)
 
 
 def _bucket_rows(bucket, a, b, shared, step: int = 50_000):
@@ -430,7 +447,7 @@ def _open_work(members: DataFrame, large: DataFrame, sim: Similarity) -> DataFra
         if held:
             yield from opened()
 
-    return dealt.mapInArrow(run, _OPEN)
+    return dealt.mapInArrow(released(run), _OPEN)
 
 
 def _open_rows(kind: int, a: np.ndarray, b: np.ndarray, cls: np.ndarray | None = None, component: np.ndarray | None = None) -> pa.RecordBatch:
@@ -471,7 +488,7 @@ def _fetched(wanted: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarit
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.binary())], names=["d1", "n", "packed"])
 
-    return docs.mapInArrow(fetch, "d1 long, n long, packed binary")
+    return docs.mapInArrow(released(fetch), "d1 long, n long, packed binary")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
@@ -502,7 +519,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarit
             if linked:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*linked, strict=True)], names=["a", "b"])
 
-    return units.mapInArrow(compare, "a long, b long")
+    return units.mapInArrow(released(compare), "a long, b long")
 
 
 def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
@@ -572,7 +589,7 @@ def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, every:
         if len(sets) > 1 and (found := list(pairs())):
             yield sent(found)
 
-    return dealt.mapInArrow(run, "bucket long, unit long, a long, b long")
+    return dealt.mapInArrow(released(run), "bucket long, unit long, a long, b long")
 
 
 def _unit_links(work: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
@@ -628,7 +645,7 @@ def _block_links(wide: DataFrame, members: DataFrame, reps: DataFrame, docs: Dat
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(released(run), "a long, b long").distinct()
 
 
 # --- The operator ----------------------------------------------------------------------------------

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lociweave.llm.side_tables import released, sliced
+
 DIMENSIONS = 1024
 SYMBOLS = 64
 SEED = 20240601
@@ -93,7 +95,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", dim
 
     def run(batches):
         encoder, sums = Encoder(dimensions), {}
-        for batch in batches:
+        for batch in sliced(batches):
             texts, langs = batch.column(1).to_pylist(), batch.column(0).to_pylist()
             for a, b in chunks(texts):
                 owner, trigrams = encoder.trigrams(texts[a:b])
@@ -107,7 +109,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", dim
             vector = sum(row[u].astype(np.float64) @ encoder.vectors(u) for u in np.array_split(used, max(1, len(used) // 20_000))) if len(used) else np.zeros(dimensions)
             yield pa.RecordBatch.from_arrays([pa.array([name] * dimensions), pa.array(range(dimensions), pa.int32()), pa.array(vector)], names=["lang", "at", "x"])
 
-    sums = rows.mapInArrow(run, "lang string, at int, x double").groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    sums = rows.mapInArrow(released(run), "lang string, at int, x double").groupBy("lang", "at").agg(F.sum("x").alias("x"))
     got: dict[str, np.ndarray] = {}
     for lang, at, x in sums.collect():
         got.setdefault(lang, np.zeros(dimensions))[at] = x
@@ -129,7 +131,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_co
 
     def run(batches):
         encoder = Encoder(vectors.shape[1])
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(place).to_pylist()]
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
             for a, b in chunks(texts) if langs else ():
@@ -142,7 +144,7 @@ def predict(docs: DataFrame, profiles: Profiles, text_col: str = "text", pred_co
                     score[a + i] = min(1.0, max(0.0, float(cosines[i, best[i]])))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score)], names=[*batch.schema.names, pred_col, score_col])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def held_out() -> F.Column:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociweave.llm.side_tables import BLOCK, read_side, runs, sliced, with_blocks, write_side
+from lociweave.llm.side_tables import BLOCK, read_side, released, runs, sliced, with_blocks, write_side
 from lociweave.runtime import drop_stored, store
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -154,7 +154,7 @@ def _strings(data, ends: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
-def _grouped(texts: list, size: int = 4_000_000):
+def _grouped(texts: list, size: int = 2_000_000):
     """Neighbouring texts, of about so many characters together."""
     start = held = 0
     for i, t in enumerate(texts):
@@ -408,12 +408,12 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
     does. All other columns pass through (the text itself only with ``keep_text``); one named as the ids is
     replaced. With ``decoded_col`` the ids are decoded again in the same pass. The order of rows is kept. A column of :func:`with_blocks` is used if there is one. Of equally
     good merges the leftmost comes first; of paths of equal cost that with the smaller border bits. Texts of any
-    length are read whole, about four million characters at a time where there are several. An empty table gives an empty one.
+    length are read whole, about two million characters at a time where there are several. An empty table gives an empty one.
     """
     docs = docs.drop(ids_col, *([decoded_col] if decoded_col else []))
     held = docs.select(*[c for c in docs.columns if c != BLOCK], BLOCK) if BLOCK in docs.columns else with_blocks(docs)
     kept = [c for c in held.columns if c != BLOCK and (keep_text or c != text_col)]
-    asked = store(held.select(BLOCK, F.col(text_col).cast("string")).mapInArrow(_words_of(model), f"{BLOCK} string, word string"), "block-words")
+    asked = store(held.select(BLOCK, F.col(text_col).cast("string")).mapInArrow(released(_words_of(model)), f"{BLOCK} string, word string"), "block-words")
     answers = asked.join(segment(asked.select("word").distinct(), model), "word").select(BLOCK, "word", "mask")
     path = write_side(answers, "block-segments")
     drop_stored(asked)
@@ -443,7 +443,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", ids_col: str =
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), lists, *([pa.array(decoded, pa.string())] if decoded_col else [])], names=schema.names)
 
-    return held.mapInArrow(ids_of, schema)
+    return held.mapInArrow(released(ids_of), schema)
 
 
 def decode(docs: DataFrame, model: Model, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -463,7 +463,7 @@ def decode(docs: DataFrame, model: Model, ids_col: str = "ids", text_col: str =
             texts = back(column.flatten().to_numpy(zero_copy_only=False), sizes)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(released(run), schema)
 
 
 def op7_sentencepiece(spark, sf_dir):

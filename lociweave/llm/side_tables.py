@@ -8,6 +8,9 @@ grows with the side table, not with the number of tasks.
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 import pyarrow.dataset as pads
 from pyarrow import fs as pafs
 from pyspark.errors import AnalysisException
@@ -56,6 +59,22 @@ def runs(values: list):
             start = i
 
 
+def released(run):
+    """``run`` of ``mapInArrow``, whose worker gives its free memory back to the system at the end of a task.
+
+    A worker waits for its next task with all that its allocators keep, beside the JVM that has the machine meanwhile.
+    """
+
+    def tidy(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every system's library has it
+        if trim is not None:
+            trim(0)
+
+    return tidy
+
+
 def sliced(batches, rows: int = 1000):
     """Batches of fewer rows, so that what is made of them stays small."""
     for batch in batches:
