@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociweave.llm import exact_dedup, jaccard_join, language_id, mixing, sentencepiece_lattice
-from lociweave.runtime import drop_stored, store
+from lociweave.runtime import drop_stored, small_batches, store
 
 #: A text below this cosine with every language has next to no trigram in common with any. The shortest clean texts are above 0.05.
 LEAST_COSINE = 0.02
@@ -26,6 +26,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     are texts without letters (null and empty ones too) and those below ``LEAST_COSINE`` with every language. A language
     that a document has stays as it is.
     """
+    small_batches(spark)
     profiles = language_id.fit(docs)
     if not profiles.langs:
         return docs
@@ -41,6 +42,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near-duplicates the smallest doc_id stays; texts without words and rows without id all stay."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
@@ -57,6 +59,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_tokens, ids) of every row, in the same order; null and empty texts have no ids."""
+    small_batches(spark)
     ids = sentencepiece_lattice.encode(docs, sentencepiece_lattice.load_model(), keep_text=False)
     return ids.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 

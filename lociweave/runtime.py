@@ -58,6 +58,16 @@ def drop_stored(df: DataFrame) -> None:
         remove(df.sparkSession, folder)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session's Python workers get at most so many rows at once, unless it asks for fewer.
+
+    For queries over long texts: a batch stands in memory on both sides of the pipe, and buffers grow by doubling.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
