@@ -23,7 +23,7 @@ share: every member knows its last buckets before this one, and two that share o
 already. They are compared in units of two blocks of a bucket's members, as a matrix, and a unit gives no more links
 than connect its members; no rows of pairs are made. Where one component is large, the other's members are paired with the component instead of its
 members, and compared with blocks of it in one task; one link connects them. So no link is lost. Every
-link is found on the tokens of whole texts. Only candidates move: texts compressed, or the last 32 bits of their tokens.
+link is found on the tokens of whole texts. Only candidates move: texts compressed, or the last 24 bits of their tokens.
 """
 
 from __future__ import annotations
@@ -459,8 +459,18 @@ def _open_rows(kind: int, a: np.ndarray, b: np.ndarray, cls: np.ndarray | None =
 # --- Verification ----------------------------------------------------------------------------------
 
 
+def _short(tokens: np.ndarray) -> bytes:
+    """The distinct last 24 bits of tokens, packed: about two bytes each."""
+    values = _distinct(tokens & _U(0xFFFFFF))
+    return len(values).to_bytes(4, "little") + _planes(values)
+
+
+def _from_short(data: bytes) -> np.ndarray:
+    return _from_planes(data[4:], int.from_bytes(data[:4], "little"))
+
+
 def _fetched(wanted: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity, short: bool = False) -> DataFrame:
-    """(d1, n, packed): of the classes in ``wanted`` (d1) the number of tokens, and the compressed text or (``short``) the distinct last 32 bits of the tokens.
+    """(d1, n, packed): of the classes in ``wanted`` (d1) the number of tokens, and the compressed text or (``short``) the distinct last 24 bits of the tokens.
 
     ``docs`` are doc_id, text, block; ``reps`` say where each class has its text.
     """
@@ -484,7 +494,7 @@ def _fetched(wanted: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarit
                 for i, text, own in zip(here, found, shingler.sets(found), strict=True):
                     d1 = _digest(own)[0]
                     if d1 in places[ids[i]]:
-                        out[d1] = (len(own), np.unique(own.astype(np.uint32)).tobytes() if short else squeeze.compress(text))
+                        out[d1] = (len(own), _short(own) if short else squeeze.compress(text))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.binary())], names=["d1", "n", "packed"])
 
@@ -544,7 +554,7 @@ def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
 def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, every: bool) -> DataFrame:
     """(bucket, unit, a, b): pairs of each unit (bucket, unit, cls, component) that may link; all, or as many as connect them.
 
-    ``tokens`` are (cls, n, packed) with the last 32 bits of each token. Tokens of one set that agree in these count
+    ``tokens`` are (cls, n, packed) with the last 24 bits of each token. Tokens of one set that agree in these count
     for the overlap, so no link is missed.
     """
     unit = ["bucket", "unit"]
@@ -583,7 +593,7 @@ def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, every:
                 names.append(cls)
                 comps.append(comp)
                 sizes.append(n)
-                sets.append(np.frombuffer(packed, np.uint32))
+                sets.append(_from_short(packed))
             if found:
                 yield sent(found)
         if len(sets) > 1 and (found := list(pairs())):
