@@ -54,3 +54,19 @@ def test_redundant_contigs_that_are_all_alike(spark):
     finally:
         stop.cancel()
     assert [tuple(r) for r in got] == [(n - 1, 1, n - 1)]
+
+
+def test_first_path_of_contigs_that_are_all_alike(spark, tmp_path):
+    """60,000 customers with the same two orders each: one stays, as the path's only segment."""
+    from lociweave.plans.reporting import q52_first_path
+
+    n = 60_000
+    spark.range(n).selectExpr("id as c_custkey", "1 as c_nationkey", "cast(id as double) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(2 * n).selectExpr("id * 60 as o_orderkey", "id div 2 as o_custkey", "timestamp '2020-01-01' + make_interval(0, 0, 0, cast(id % 2 * 90 as int)) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    stop = Timer(90, spark.sparkContext.cancelAllJobs)
+    stop.start()
+    try:
+        got = q52_first_path(spark, str(tmp_path)).select("chr", "n", "kind", "contig", "start", "end", "orientation").collect()
+    finally:
+        stop.cancel()
+    assert [tuple(r) for r in got] == [(1, 1, "source", n - 1, 1, (n - 1) % 50 + 10, "-")]
