@@ -69,4 +69,4 @@ def test_first_path_of_contigs_that_are_all_alike(spark, tmp_path):
         got = q52_first_path(spark, str(tmp_path)).select("chr", "n", "kind", "contig", "start", "end", "orientation").collect()
     finally:
         stop.cancel()
-    assert [tuple(r) for r in got] == [(1, 1, "source", n - 1, 1, (n - 1) % 50 + 10, "-")]
+    assert [tuple(r) for r in got] == [(1, 1, "source", n - 1, 1, (n - 1) % 50 + 10, "+")]
