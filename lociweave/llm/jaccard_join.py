@@ -551,18 +551,24 @@ def common_tokens(sets: list[np.ndarray]) -> np.ndarray:
     return total.astype(np.int64)
 
 
-def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, every: bool) -> DataFrame:
-    """(bucket, unit, a, b): pairs of each unit (bucket, unit, cls, component) that may link; all, or as many as connect them.
+def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, whole: bool) -> DataFrame:
+    """(bucket, unit, a, b): of each unit (bucket, unit, cls, component) as many pairs that may link as connect all that may.
 
     ``tokens`` are (cls, n, packed) with the last 24 bits of each token. Tokens of one set that agree in these count
-    for the overlap, so no link is missed.
+    for the overlap, so no link is missed. With the ``whole`` texts instead every pair is a link.
     """
     unit = ["bucket", "unit"]
     dealt = work.join(tokens, "cls").select(*unit, "component", "cls", "n", "packed").repartition(shuffle_partitions(work.sparkSession), *unit).sortWithinPartitions(*unit, "cls")
 
     def run(batches):
+        import zstandard
+
+        shingler, expand = Shingler(sim.width), zstandard.ZstdDecompressor()
         now, names, comps, sizes, sets = None, [], [], [], []
 
+        def unpacked(packed):
+            return shingler.sets([expand.decompress(p) for p in packed]) if whole else map(_from_short, packed)
+
         def pairs():
             size, comp = np.array(sizes), np.array(comps)
             merged = size - np.array([len(s) for s in sets])
@@ -576,7 +582,7 @@ def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, every:
 
             for i, j in np.argwhere(np.triu(hits, 1)).tolist():
                 u, v = root(comps[i]), root(comps[j])
-                if every or u != v:
+                if u != v:
                     top[u] = v
                     yield (*now, names[i], names[j])
 
@@ -585,7 +591,8 @@ def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, every:
 
         for batch in sliced(batches):
             found = []
-            for *key, comp, cls, n, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = [c.to_pylist() for c in batch.columns]
+            for *key, comp, cls, n, own in zip(*columns[:-1], unpacked(columns[-1]), strict=True):
                 if key != now:
                     if len(sets) > 1:
                         found += pairs()
@@ -593,7 +600,7 @@ def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, every:
                 names.append(cls)
                 comps.append(comp)
                 sizes.append(n)
-                sets.append(_from_short(packed))
+                sets.append(own)
             if found:
                 yield sent(found)
         if len(sets) > 1 and (found := list(pairs())):
@@ -605,15 +612,17 @@ def _unit_candidates(work: DataFrame, tokens: DataFrame, sim: Similarity, every:
 def _unit_links(work: DataFrame, reps: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
     """(a, b): links that connect what is linked within each unit (bucket, unit, cls, component).
 
-    Units name as few candidates as connect them. Should one not hold on the whole tokens, its unit is asked for all.
+    Units name as few candidates as connect them. Should one not hold on the whole tokens, its unit is compared again
+    on the whole texts of its classes, so a unit moves each of them once more and not once for each of its pairs.
     """
     tokens = _fetched(work.select(F.col("cls").alias("d1")).distinct(), reps, docs, sim, short=True).withColumnRenamed("d1", "cls")
-    found = store(_unit_candidates(work, tokens, sim, every=False), "unit-candidates")
+    found = store(_unit_candidates(work, tokens, sim, whole=False), "unit-candidates")
     links = store(_verified(found.select("a", "b").distinct(), reps, docs, sim), "links")
     wrong = store(found.join(links, ["a", "b"], "left_anti").select("bucket", "unit").distinct(), "wrong-units")
     if wrong.limit(1).count():
-        again = _unit_candidates(work.join(wrong, ["bucket", "unit"], "left_semi"), tokens, sim, every=True).select("a", "b").distinct()
-        links = links.unionAll(store(_verified(again, reps, docs, sim), "links"))
+        again = store(work.join(wrong, ["bucket", "unit"], "left_semi"), "again")
+        texts = _fetched(again.select(F.col("cls").alias("d1")).distinct(), reps, docs, sim).withColumnRenamed("d1", "cls")
+        links = links.unionAll(store(_unit_candidates(again, texts, sim, whole=True).select("a", "b").distinct(), "links"))
     return links
 
 

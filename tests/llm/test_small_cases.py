@@ -267,6 +267,37 @@ def test_common_tokens_by_intersection():
     assert all(got[i, j] == len(np.intersect1d(a, b)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j)
 
 
+
+def test_jaccard_a_unit_with_a_false_candidate_gives_no_square(spark):
+    """One pair agrees in the last 24 bits of its tokens only; the unit is compared again, and its links still only connect it."""
+    sim, n = jaccard_join.Similarity(width=1), 60
+    tokens = [int(s[0]) for s in jaccard_join.Shingler(1).sets([b"w%d" % i for i in range(30_000)])]
+    seen, twins = {}, None
+    for i, t in enumerate(tokens):
+        if (j := seen.setdefault(t & 0xFFFFFF, i)) != i:
+            twins = j, i
+            break
+    texts = [f"a b c w{k}" for k in twins] + ["d e f g h i j k l m n o p q r s t u v x" + f" y{i}" for i in range(n)]
+    docs = with_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).select("doc_id", "text", jaccard_join.BLOCK)
+    places = {r.doc_id: r[1] for r in docs.select("doc_id", jaccard_join.BLOCK).collect()}
+    names = [jaccard_join._digest(s)[0] for s in jaccard_join.Shingler(1).sets([t.encode() for t in texts])]
+    reps = spark.createDataFrame([(d, i, places[i]) for i, d in enumerate(names)], "d1 long, doc_id long, block string")
+    work = spark.createDataFrame([(1, 0, d, d) for d in names], "bucket long, unit long, cls long, component long")
+    links = [tuple(r) for r in jaccard_join._unit_links(work, reps, docs, sim).distinct().collect()]
+    of = {d: i for i, d in enumerate(names)}
+    assert all(of[a] > 1 and of[b] > 1 for a, b in links)
+    top = {d: d for d in names}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        top[root(a)] = root(b)
+    assert len({root(d) for d in names[2:]}) == 1 and len(links) < 2 * n
+
+
 def test_signatures_meet_for_any_classes():
     rng, sim = np.random.default_rng(5), jaccard_join.Similarity()
     for _ in range(300):
