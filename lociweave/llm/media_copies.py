@@ -3,7 +3,7 @@
 Corners are found on several scales of the grey image, all that are strong enough, so their number grows with
 the image. Each gets an orientation from the intensity centroid around it and 128 binary tests between pairs of
 points turned by that orientation. Descriptors of a query and of an image match if they differ in at most
-``MOST_BITS`` bits. Blocks of images meet in a cross join and all their descriptors are compared, as no key
+``MOST_BITS`` bits. Blocks of images meet in a cross join and all their descriptors are compared (``media_bound``), as no key
 covers that many bits with less: in flat scenes a sixtieth of all pairs match. An image is a copy if enough of
 the matches agree on one rotation, scale and shift, clearly more than would by chance.
 
@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociweave.llm.media_bound import likely_pairs
 from lociweave.runtime import shuffle_partitions, store
 
 SCALES = (1.0, 1.5, 2.0)
@@ -152,24 +153,19 @@ def _matches(q: np.ndarray, m: np.ndarray):
     return (np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def _compare(asked: tuple, media: tuple) -> list[tuple]:
-    """(query_id, media_id, inliers, scale, rotation, dx, dy) of the copies between two blocks."""
+def _compare(asked: tuple, media: tuple, likely: bytes) -> list[tuple]:
+    """(query_id, media_id, inliers, scale, rotation, dx, dy) of the copies between two blocks, of pairs that may be such."""
     rows = []
     ids, ends, places, words = _unpacked(*asked)
     m_ids, m_ends, m_places, m_words = _unpacked(*media)
-    image = np.repeat(np.arange(len(m_ids)), np.diff(m_ends))
-    areas = [_area(m_places[m_ends[i] : m_ends[i + 1]]) for i in range(len(m_ids))]
-    for k in range(len(ids)):
-        mine = places[ends[k] : ends[k + 1]]
-        a, b = _matches(words[ends[k] : ends[k + 1]], m_words)
-        order = np.argsort(image[b], kind="stable")
+    for k, i in np.frombuffer(likely, "<i4").reshape(-1, 2):
+        mine, its = slice(ends[k], ends[k + 1]), slice(m_ends[i], m_ends[i + 1])
+        a, b = _matches(words[mine], m_words[its])
+        order = np.argsort(a, kind="stable")
         a, b = a[order], b[order]
-        bounds = np.searchsorted(image[b], np.arange(len(m_ids) + 1))
-        for i in np.nonzero(np.diff(bounds) >= LEAST_INLIERS)[0]:
-            of = slice(bounds[i], bounds[i + 1])
-            got = consensus(mine[a[of]], m_places[b[of]], _area(mine), areas[i])
-            if got is not None:
-                rows.append((int(ids[k]), int(m_ids[i]), *got))
+        got = consensus(places[mine][a], m_places[its][b], _area(places[mine]), _area(m_places[its]))
+        if got is not None:
+            rows.append((int(ids[k]), int(m_ids[i]), *got))
     return rows
 
 
@@ -188,10 +184,12 @@ def find_copies(queries: DataFrame, media: DataFrame, id_col: str = "media_id",
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
                 row = [x.as_py() for x in row]
-                if out := _compare(row[:4], row[4:]):
+                if out := _compare(row[:4], row[4:8], row[8]):
                     yield _found(out)
 
     met = named(asked, "q").crossJoin(named(index, "m").repartition(4 * shuffle_partitions(media.sparkSession)))
+    limits = {"TURN": TURN, "STRETCH": STRETCH, "TOLERANCE": TOLERANCE, "LEAST": LEAST_INLIERS, "CHANCE": CHANCE, "BITS": MOST_BITS, "EDGE": 2 * RADIUS}
+    met = met.withColumn("likely", likely_pairs(media.sparkSession, limits, [c for c in met.columns if c[0] == "q"], [c for c in met.columns if c[0] == "m"]))
     return met.mapInArrow(run, "query_id long, media_id long, inliers long, scale double, rotation double, dx double, dy double")
 
 

@@ -381,6 +381,24 @@ def test_media_faint_part_of_a_large_image_is_found(spark):
     assert [(r.query_id, r.media_id, round(r.dx)) for r in media_copies.find_copies(asked, media).collect()] == [(2, 1, 560)]
 
 
+def test_media_pairs_left_out_have_no_consensus(spark):
+    scenes = [media_copies.draw(str(i).encode()) for i in range(12)]
+    media = [(i, media_copies.encode_image(g)) for i, g in enumerate([*scenes, np.concatenate(scenes, 1), scenes[2]])]
+    asked = [(i, media_copies.encode_image(media_copies.edited(g, media_copies.KINDS[i % 5]))) for i, g in enumerate(scenes[:10])]
+    corners = {s: {i: media_copies.descriptors(media_copies.decode_image(x)) for i, x in side} for s, side in (("q", asked), ("m", media))}
+    want = []
+    for i, (mine, words) in corners["q"].items():
+        for j, (its, others) in corners["m"].items():
+            a, b = np.nonzero(np.bitwise_count(words[:, None] ^ others).sum(2) <= media_copies.MOST_BITS)
+            mine, its = mine.astype(np.float32).astype(float), its.astype(np.float32).astype(float)
+            if got := media_copies.consensus(mine[a], its[b], media_copies._area(mine), media_copies._area(its)):
+                want.append((i, j, *got))
+    frames = [spark.createDataFrame(side, "media_id long, image binary") for side in (asked, media)]
+    found = media_copies.find_copies(*frames)
+    assert rows(found) == sorted(want, key=repr) and len(want) >= 20
+    assert "likely" in found._jdf.queryExecution().analyzed().toString()  # numpy only sees pairs that the bound leaves
+
+
 # --- 7: pieces ---
 
 
